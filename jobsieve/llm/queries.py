@@ -27,6 +27,18 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return leak_report(p9_found(spark, d), table(spark, d, "eval_items"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from jobsieve.llm.residue import find_residue
+
+    return find_residue(table(spark, d, "jobs")).select("job_id", "field_name").distinct()
+
+
+def p5_boilerplate(spark: SparkSession, d: str) -> DataFrame:
+    from jobsieve.llm.residue import recurrent_lines
+
+    return recurrent_lines(table(spark, d, "jobs"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
