@@ -27,6 +27,24 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return leak_report(p9_found(spark, d), table(spark, d, "eval_items"))
 
 
+def _residual_descriptions(spark: SparkSession, d: str) -> DataFrame:
+    from jobsieve.llm.residue import find_residue
+
+    return find_residue(table(spark, d, "jobs"), fields=["description"]).select("job_id").distinct()
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from jobsieve.llm.truncation import find_truncated
+
+    return find_truncated(table(spark, d, "jobs")).join(_residual_descriptions(spark, d), "job_id", "left_anti")
+
+
+def p1_sources(spark: SparkSession, d: str) -> DataFrame:
+    from jobsieve.llm.truncation import truncation_by_source
+
+    return truncation_by_source(table(spark, d, "jobs"), p1_found(spark, d))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from jobsieve.llm.residue import find_residue
 
