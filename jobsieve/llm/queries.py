@@ -9,6 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from jobsieve.tables import table
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from jobsieve.llm.boilerplate import find_boilerplate
+
+    lines = find_boilerplate(table(spark, d, "jobs"))
+    return lines.select("job_id", "line_no").distinct().join(_residual_descriptions(spark, d), "job_id", "left_anti")
+
+
+def p6_main_text(spark: SparkSession, d: str) -> DataFrame:
+    from jobsieve.llm.boilerplate import main_text
+
+    return main_text(table(spark, d, "jobs"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     from jobsieve.llm.tokens import encode_corpus
 

@@ -24,12 +24,17 @@ from pyspark.sql import functions as F
 from jobsieve.session import cut_lineage
 
 WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
+BRACKET = re.compile(r"[(\[{„“«)\]}»”]")
+DIGITS = re.compile(r"\d+")
 UNIT = re.compile(r"(?<=[.!?…:])\s+")
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)\b[^<>]*?(/?)>")
 VOID = {"br", "hr", "img", "input", "meta", "link", "col", "wbr", "source"}
 #: Elements whose end tag may be left out.
 OPTIONAL = {"li", "p", "td", "tr", "th", "dt", "dd", "option", "tbody", "thead"}
 BROKEN = re.compile(r"(?:&(?:[a-zA-Z]{1,8}|#\d{0,6}|#x[\da-fA-F]{0,5})?|<(?:/?[a-zA-Z][^<>\n]{0,80}|/|!-{0,2}[^<>]{0,40})?|\\(?:u[\da-fA-F]{0,3}|x[\da-fA-F]?)?|%[\da-fA-F]?|�+)$")
+TAIL = 200
+CLOSING_TAG = re.compile(r"</?[a-zA-Z][^<>]*>$")
+BROKEN_SIGN = re.compile(r"[&<\\%�]")
 MORE = re.compile(r"(?i)[\[(]?\s*(?:leggi tutto|leggi di più|continua a leggere|read more|show more|see more|continue reading|mehr lesen|weiterlesen|mehr anzeigen|mehr erfahren|lire la suite|voir plus|leer más|ver más|seguir leyendo|lees meer|lees verder|meer tonen|truncated|gekürzt|more)\s*[\])]?$|\[(?:\.{2,}|…|\+\d+ \w+)\]$")
 DOTS = re.compile(r"(\s*)(?:\.{2,}|…+)$")
 WHOLE, DOTTED, OPEN, CUT = 0, 1, 2, 3
@@ -53,7 +58,7 @@ def open_structure(text: str) -> bool:
     """Stack automaton: whether an element, bracket or quote of the last block is still open at the end."""
     stack: list[str] = []
     closes = False
-    for m in TAG.finditer(text):
+    for m in TAG.finditer(text) if "<" in text else ():
         name = m[2].lower()
         if name in VOID or m[3]:
             continue
@@ -65,48 +70,53 @@ def open_structure(text: str) -> bool:
                 pass
     if any(name not in OPTIONAL or closes for name in stack):
         return True
-    tail = text[text.rfind("\n") + 1 :]
-    last = UNIT.split(tail)[-1]
+    last = UNIT.split(text[text.rfind("\n") + 1 :])[-1]
     stack = []
-    for c in last:
+    for c in BRACKET.findall(last):
         if c in "([{„“«":
             if c == "“" and stack and stack[-1] == "„":
                 stack.pop()
             else:
                 stack.append(c)
-        elif c in ")]}»”":
-            if stack:
-                stack.pop()
+        elif stack:
+            stack.pop()
     return bool(stack)
 
 
-def key_words(unit: str) -> list[str]:
-    return [re.sub(r"\d+", "9", w).lower() for w in WORD.findall(unit)[-3:]]
+def key_words(unit: str) -> tuple[str, str, str]:
+    """The last three words of a unit, in lower case with digits folded, filled up with ^ in front."""
+    tail = unit[-90:].lower()
+    if DIGITS.search(tail):
+        tail = DIGITS.sub("9", tail)
+    w = WORD.findall(tail)
+    if len(w) >= 3:
+        return w[-3], w[-2], w[-1]
+    return ("^", "^", "") if not w else ("^", "^", w[0]) if len(w) == 1 else ("^", w[0], w[1])
 
 
 def examine(text: str) -> tuple[int, str]:
     """(status, text without the mark of a cut): whole, trailing off in dots, open or visibly cut."""
     end = text.rstrip()
-    if (m := MORE.search(end)) and (re.search(r"[\[(…]|\.\.", end[max(0, m.start() - 3) :]) or m[0].startswith("[")):
-        core = end[: m.start()].rstrip()
-        return CUT, re.sub(r"\s*(?:\.{2,}|…+)$", "", core)
-    if BROKEN.search(end):
+    tail = end[-TAIL:]  # marks, entities and closing tags are shorter than this; structure is followed through the whole text
+    before = end[: len(end) - len(tail)]
+    if (m := MORE.search(tail, max(0, len(tail) - 40))) and (m[0].startswith("[") or re.search(r"[\[(…]|\.\.", tail[max(0, m.start() - 3) :])):
+        return CUT, re.sub(r"\s*(?:\.{2,}|…+)$", "", before + tail[: m.start()].rstrip())
+    if BROKEN_SIGN.search(tail, max(0, len(tail) - 90)) and BROKEN.search(tail):
         return CUT, end
-    closed = re.sub(r"(?:\s|</?[a-zA-Z][^<>]*>)+$", "", end)
-    if (m := DOTS.search(closed)) and not closed.endswith("[…]"):
-        core = closed[: m.start()]
-        if m[1] or open_structure(end[: len(core)] if closed == end else end):
-            return CUT, core
-        return DOTTED, core
+    closed = tail
+    while closed.endswith(">") and (m := CLOSING_TAG.search(closed)) and m.start():
+        closed = closed[: m.start()].rstrip()
+    if closed.endswith(("..", "…")) and (m := DOTS.search(closed)) and not closed.endswith("[…]"):
+        core = before + closed[: m.start()]
+        return (CUT if m[1] or open_structure(core if closed == tail else end) else DOTTED), core
     if open_structure(end):
         return CUT, end
-    if re.search(r"[.!?:;)\]»”\"'“]$", closed):
-        return WHOLE, end
-    return OPEN, end
+    return (WHOLE if closed[-1:] in ".!?:;)]»”\"'“" else OPEN), end
 
 
 def start_words(unit: str) -> str:
-    return " ".join(re.sub(r"\d+", "9", w).lower() for w in re.findall(r"[^\s]+", unit[:60])[:3])
+    head = " ".join(unit[:60].lower().split()[:3])
+    return DIGITS.sub("9", head) if DIGITS.search(head) else head
 
 
 def _units(text: str) -> Iterator[str]:
@@ -141,28 +151,41 @@ def scan(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFram
             starts.clear()
             return emit(rows)
 
+        known: dict[str, tuple] = {}
+
+        def keys(unit: str) -> tuple:
+            found = known.get(unit)
+            if found is None:
+                if len(known) >= 100_000:
+                    known.clear()
+                found = known[unit] = (key_words(unit), start_words(unit))
+            return found
+
         for batch in batches:
             rows = []
             for id_, src, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 text = text.as_py()
-                if not text or not text.strip():
+                if not text or text.isspace():
                     continue
                 units = list(_units(text))
                 if not units:
                     continue
                 for unit in units[:-1]:
-                    w = key_words(unit)
-                    ends["^" if len(w) < 3 else w[-3], "^" if len(w) < 2 else w[-2], w[-1] if w else ""] += 1
-                for unit in units:
-                    starts[start_words(unit)] += 1
+                    triple, start = keys(unit)
+                    ends[triple] += 1
+                    starts[start] += 1
                 status, core = examine(text)
-                w = key_words(units[-1]) if status != DOTTED else key_words(list(_units(core))[-1] if core.strip() else "")
-                a, b, c = "^" if len(w) < 3 else w[-3], "^" if len(w) < 2 else w[-2], w[-1] if w else ""
+                last = units[-1]
+                if status == DOTTED:
+                    last = DOTS.sub("", last)
+                a, b, c = key_words(last)
+                start = start_words(units[-1])
+                starts[start] += 1
                 if status == WHOLE:
                     ends[a, b, c] += 1
                 found = WORD.findall(core[-80:])
                 name_like = bool(found) and len(found[-1]) >= 4 and (found[-1][0].isupper() or found[-1].isdigit())
-                rows.append((0, id_, src, status, len(core), len(core.encode("utf-8", "replace")), _hash(f"{a} {b} {c}"), _hash(f"{a} {b}"), _hash(start_words(units[-1])), name_like, None))
+                rows.append((0, id_, src, status, len(core), len(core.encode("utf-8", "replace")), _hash(f"{a} {b} {c}"), _hash(f"{a} {b}"), _hash(start), name_like, None))
             yield emit(rows)
             if len(ends) > 200_000:
                 yield flush()
