@@ -22,6 +22,22 @@ def p6_main_text(spark: SparkSession, d: str) -> DataFrame:
     return main_text(table(spark, d, "jobs"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from jobsieve.llm.canonical import map_to_references
+
+    return map_to_references(table(spark, d, "jobs"), table(spark, d, "ref_places"), table(spark, d, "ref_job_types"))
+
+
+def p7_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """How often each value without an entry occurs."""
+    from jobsieve.llm.canonical import map_values, reference_names
+
+    jobs = table(spark, d, "jobs")
+    missing = map_values(jobs, reference_names(table(spark, d, "ref_places"), table(spark, d, "ref_job_types"))).where("ref_id = -1")
+    typed = jobs.selectExpr("'location' AS field_name", "location AS raw").unionAll(jobs.selectExpr("'job_type'", "job_type"))
+    return typed.groupBy("field_name", "raw").count().withColumnRenamed("count", "n").join(missing.drop("ref_id"), ["field_name", "raw"])
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     from jobsieve.llm.tokens import encode_corpus
 
