@@ -14,7 +14,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame
 
-from jobsieve.session import cut_lineage
+from jobsieve.session import write_once
 
 #: Edits tolerated; a reference string is cut into one segment more.
 EDITS = 2
@@ -40,23 +40,29 @@ FROM (SELECT DISTINCT '{field}' AS field_name, {field} AS raw FROM {rows} WHERE
 
 KEY = r"""trim(regexp_replace(replace({x}, "'", ''), '[^a-z0-9]+', ' '))"""
 
-MATCH = """
-WITH refs AS (
+#: The steps of the match; each is written once, so that none is computed again for every later use.
+STEPS = {
+    "refs": """
   SELECT DISTINCT field_name, ref_id, {ref_key} AS key FROM (
     SELECT field_name, ref_id, explode(array(name, replace(replace(replace(lower(name), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'))) AS name FROM {names} WHERE name IS NOT NULL
   ) WHERE {ref_key} <> ''
-), parts AS (
+""",
+    "parts": """
   SELECT DISTINCT field_name, part, {part_key} AS key FROM {values} WHERE {part_key} <> ''
-), equal AS (
-  SELECT p.field_name, p.part, r.ref_id, 0 AS rule, 0 AS cost FROM parts p JOIN refs r ON p.field_name = r.field_name AND p.key = r.key
-), rest AS (
-  SELECT p.* FROM parts p LEFT ANTI JOIN equal e ON p.field_name = e.field_name AND p.part = e.part
-), keyed AS (
-  SELECT DISTINCT field_name, key, length(key) AS len FROM rest WHERE length(key) >= 4
+""",
+    "equal": """
+  SELECT p.field_name, p.part, r.ref_id, 0 AS rule, 0 AS cost FROM {parts} p JOIN {refs} r ON p.field_name = r.field_name AND p.key = r.key
+""",
+    "rest": """
+  SELECT p.* FROM {parts} p LEFT ANTI JOIN {equal} e ON p.field_name = e.field_name AND p.part = e.part
+""",
+    "spelled": """
+WITH keyed AS (
+  SELECT DISTINCT field_name, key, length(key) AS len FROM {rest} WHERE length(key) >= 4
 ), segments AS (
   SELECT field_name, ref_id, key, length(key) AS len, i, 1 + i * (length(key) div {pieces}) AS pos,
          IF(i = {edits}, length(key) - i * (length(key) div {pieces}), length(key) div {pieces}) AS width
-  FROM refs LATERAL VIEW explode(sequence(0, {edits})) AS i WHERE length(key) >= 4
+  FROM {refs} LATERAL VIEW explode(sequence(0, {edits})) AS i WHERE length(key) >= 4
 ), shapes AS (
   SELECT DISTINCT field_name, len, i, pos, width FROM segments
 ), probes AS (
@@ -68,15 +74,17 @@ WITH refs AS (
   FROM probes p JOIN segments r ON p.field_name = r.field_name AND p.ref_len = r.len AND p.i = r.i AND p.seg = substring(r.key, r.pos, r.width)
 ), verified AS (
   SELECT field_name, key, ref_key, ref_id, levenshtein(key, ref_key, {edits}) AS d FROM near
-), spelled AS (
+)
   SELECT t.field_name, t.part, v.ref_id, 1 AS rule, v.d AS cost
-  FROM rest t JOIN verified v ON t.field_name = v.field_name AND t.key = v.key
+  FROM {rest} t JOIN verified v ON t.field_name = v.field_name AND t.key = v.key
   WHERE v.d = 1 OR (v.d = 2 AND (least(length(v.key), length(v.ref_key)) >= {long} OR array_sort(split(v.key, '')) = array_sort(split(v.ref_key, ''))))
-), short AS (
+""",
+    "shortened": """
+WITH short AS (
   SELECT field_name, part, key, substring(key, 1, 1) AS initial,
          trim(regexp_replace(array_join(transform(split(regexp_replace(part, '[^a-z0-9.]+', ' '), ' '), t -> IF(t NOT LIKE '%.%' AND length(t) <= 3 AND length(key) > 3, regexp_replace(t, '([a-z])', '$1[a-z]*'), replace(regexp_replace(t, '([a-z])(?=[a-z]*[.])', '$1[a-z]*'), '.', ''))), ' '), ' +', ' ')) AS pattern
-  FROM rest
-), shortened AS (
+  FROM {rest}
+)
   SELECT s.field_name, s.part, r.ref_id,
          CASE WHEN r.key RLIKE concat('^', s.pattern, '$') AND s.pattern <> s.key AND length(s.key) >= 4 THEN 2
               WHEN s.field_name = 'job_type' AND length(s.key) >= 4 AND startswith(r.key, s.key) THEN 3
@@ -84,24 +92,30 @@ WITH refs AS (
               WHEN s.field_name = 'job_type' AND length(split_part(s.key, ' ', 1)) >= 4 AND startswith(r.key, concat(split_part(s.key, ' ', 1), ' ')) THEN 4
               WHEN s.field_name = 'job_type' AND length(s.key) >= 6 AND startswith(r.key, substring(s.key, 1, 6)) THEN 6
          END AS rule, length(r.key) AS length_
-  FROM short s JOIN refs r ON s.field_name = r.field_name AND s.initial = substring(r.key, 1, 1)
-), tokens AS (
+  FROM short s JOIN {refs} r ON s.field_name = r.field_name AND s.initial = substring(r.key, 1, 1)
+""",
+    "tokens": """
   SELECT t.field_name, t.part, r.ref_id, 5 AS rule, length(r.key) AS cost
-  FROM (SELECT field_name, part, key, explode(split(key, ' ')) AS token FROM rest WHERE field_name = 'job_type' AND key LIKE '% %') t
-  JOIN refs r ON t.field_name = r.field_name AND t.token = r.key WHERE length(t.token) >= 5
-), found AS (
-  SELECT * FROM equal UNION ALL SELECT * FROM spelled UNION ALL SELECT * FROM tokens
-  UNION ALL SELECT field_name, part, ref_id, rule, IF(rule IN (4, 6), 0, length_) FROM shortened WHERE rule IS NOT NULL
-), whole AS (
+  FROM (SELECT field_name, part, key, explode(split(key, ' ')) AS token FROM {rest} WHERE field_name = 'job_type' AND key LIKE '% %') t
+  JOIN {refs} r ON t.field_name = r.field_name AND t.token = r.key WHERE length(t.token) >= 5
+""",
+    "whole": """
+WITH found AS (
+  SELECT * FROM {equal} UNION ALL SELECT * FROM {spelled} UNION ALL SELECT * FROM {tokens}
+  UNION ALL SELECT field_name, part, ref_id, rule, IF(rule IN (4, 6), 0, length_) FROM {shortened} WHERE rule IS NOT NULL
+)
   SELECT v.field_name, v.raw, f.ref_id, min(struct(f.rule, f.cost)) AS best
   FROM {values} v JOIN found f ON v.field_name = f.field_name AND v.part = f.part GROUP BY v.field_name, v.raw, f.ref_id
-), best AS (
-  SELECT field_name, raw, min(best) AS least FROM whole GROUP BY field_name, raw
+""",
+    "matched": """
+WITH best AS (
+  SELECT field_name, raw, min(best) AS least FROM {whole} GROUP BY field_name, raw
 )
 SELECT w.field_name, w.raw, min(w.ref_id) AS ref_id
-FROM whole w JOIN best b ON w.field_name = b.field_name AND w.raw = b.raw AND w.best = b.least
+FROM {whole} w JOIN best b ON w.field_name = b.field_name AND w.raw = b.raw AND w.best = b.least
 GROUP BY w.field_name, w.raw HAVING count(DISTINCT w.ref_id) = 1
-"""
+""",
+}
 
 RESULT = """
 SELECT DISTINCT {id_col}, field_name, ref_id FROM (
@@ -147,9 +161,12 @@ def map_values(rows: DataFrame, names: DataFrame) -> DataFrame:
 
     A value that fits two entries equally well is reported as -1 as well.
     """
-    match = MATCH.replace("{edits}", str(EDITS)).replace("{pieces}", str(EDITS + 1)).replace("{long}", str(LONG))
-    match = match.replace("{ref_key}", KEY.replace("{x}", FOLD.replace("{x}", "name"))).replace("{part_key}", KEY.replace("{x}", "part"))
-    matched = _sql(match, names=names, values=typed_values(rows))
+    frames = {"names": write_once(names), "values": write_once(typed_values(rows))}
+    for name, sql in STEPS.items():
+        sql = sql.replace("{edits}", str(EDITS)).replace("{pieces}", str(EDITS + 1)).replace("{long}", str(LONG))
+        sql = sql.replace("{ref_key}", KEY.replace("{x}", FOLD.replace("{x}", "name"))).replace("{part_key}", KEY.replace("{x}", "part"))
+        frames[name] = write_once(_sql(sql, **{k: f for k, f in frames.items() if "{" + k + "}" in sql}))
+    matched, names = frames["matched"], frames["names"]
     return _sql(
         """
         WITH typed AS (
@@ -172,5 +189,5 @@ def map_to_references(rows: DataFrame, places: DataFrame, types: DataFrame, id_c
     come out as null; very long values are taken whole.
     """
     base = rows.select(id_col, "location", "job_type")
-    mapping = cut_lineage(map_values(base, reference_names(places, types)))
+    mapping = write_once(map_values(base, reference_names(places, types)))
     return _sql(RESULT.replace("{id_col}", id_col), rows=base, mapping=mapping)

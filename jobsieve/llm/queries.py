@@ -74,6 +74,35 @@ def p1_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncation_by_source(table(spark, d, "jobs"), p1_found(spark, d))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from jobsieve.llm.languages import find_wrong_labels
+    from jobsieve.llm.residue import find_residue
+
+    jobs = table(spark, d, "jobs")
+    cases = find_wrong_labels(jobs, table(spark, d, "posting_labels"))
+    residue = find_residue(jobs).select("job_id", "field_name").distinct()
+    return cases.select("job_id", "field_name", "lang").distinct().join(residue, ["job_id", "field_name"], "left_anti")
+
+
+def p2_segments(spark: SparkSession, d: str) -> DataFrame:
+    from jobsieve.llm.languages import text_segments, train, training_rows
+
+    jobs = table(spark, d, "jobs")
+    return text_segments(jobs, train(training_rows(jobs, table(spark, d, "posting_labels"), "job_id", "title", "description", "lang")))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from jobsieve.llm.names import variant_pairs
+
+    return variant_pairs(table(spark, d, "jobs"))
+
+
+def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
+    from jobsieve.llm.names import link_names
+
+    return link_names(table(spark, d, "jobs"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from jobsieve.llm.residue import find_residue
 
