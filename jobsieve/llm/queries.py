@@ -115,6 +115,18 @@ def p5_boilerplate(spark: SparkSession, d: str) -> DataFrame:
     return recurrent_lines(table(spark, d, "jobs"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    from jobsieve.llm.personal import find_personal
+
+    return find_personal(table(spark, d, "documents"), table(spark, d, "ref_places"))
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    from jobsieve.llm.personal import redact
+
+    return redact(table(spark, d, "documents"), table(spark, d, "ref_places"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
