@@ -55,7 +55,8 @@ class Profiles:
         self.letters: dict[str, np.ndarray] = {}
         self.prototypes = prototypes
         self.words: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
+        self.rows = np.zeros((0, len(LANGUAGES) + 1), dtype=np.float32)
+        self.known: dict[str, tuple] = {}
         self.grams: dict[str, np.ndarray] = {}
 
     def letter(self, c: str) -> np.ndarray:
@@ -95,13 +96,11 @@ class Profiles:
                     rows[k] += weights[i, k] * v
         norms = np.linalg.norm(rows, axis=1, keepdims=True)
         self.prototypes = (rows / np.where(norms > 0, norms, 1.0)).astype(np.float32)
-        self.words, self.rows, self.grams = {}, [], {}
+        self.words, self.rows, self.grams, self.known = {}, np.zeros((0, len(LANGUAGES) + 1), dtype=np.float32), {}, {}
 
     def word_row(self, word: str) -> int:
         row = self.words.get(word)
         if row is None:
-            if len(self.words) >= 300_000:
-                self.words, self.rows = {}, []
             total = np.zeros(len(LANGUAGES) + 1, dtype=np.float32)
             for g in self.grams_of(word):
                 s = self.grams.get(g)
@@ -111,26 +110,48 @@ class Profiles:
                     s = self.grams[g] = self.prototypes @ self.gram(g).astype(np.float32)
                 total[:-1] += s
                 total[-1] += 1
-            row = self.words[word] = len(self.rows)
-            self.rows.append(total)
+            row = self.words[word] = len(self.words)
+            if row >= len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)]) if len(self.rows) else np.zeros((4096, len(LANGUAGES) + 1), dtype=np.float32)
+            self.rows[row] = total
         return row
 
     def cosines(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(cosines with the prototypes, number of words) of every text, from the sums over its n-grams."""
-        out = np.zeros((len(texts), len(LANGUAGES)), dtype=np.float32)
-        sizes = np.zeros(len(texts), dtype=np.int32)
-        for i, text in enumerate(texts):
-            words = WORD.findall(text.lower())
-            if not words:
-                continue
-            if len(self.words) + len(words) >= 300_000:
-                self.words, self.rows = {}, []
-            total = np.zeros(len(LANGUAGES) + 1, dtype=np.float32)
-            for w in words:
-                total += self.rows[self.word_row(w)]
-            out[i] = total[:-1] / np.sqrt(DIMENSIONS * max(1.0, total[-1]))
-            sizes[i] = len(words)
-        return out, sizes
+        """(cosines with the prototypes, number of words) of every text, from the sums over its n-grams.
+
+        Texts that come again, like headings and list entries, are remembered.
+        """
+        known, fresh = self.known, []
+        for text in texts:
+            if text not in known:
+                fresh.append(text)
+        if fresh:
+            if len(known) + len(fresh) > 100_000:
+                known.clear()
+                fresh = list(dict.fromkeys(texts))
+            if len(self.words) > 300_000:
+                self.words, self.rows = {}, np.zeros((0, len(LANGUAGES) + 1), dtype=np.float32)
+            ids: list[int] = []
+            sizes, starts = [], []
+            words, word_row = self.words, self.word_row
+            for text in fresh:
+                found = WORD.findall(text.lower())
+                starts.append(len(ids))
+                sizes.append(len(found))
+                for w in found:
+                    i = words.get(w)
+                    ids.append(word_row(w) if i is None else i)
+            sums = np.zeros((len(fresh), len(LANGUAGES) + 1), dtype=np.float32)
+            full = [i for i, n in enumerate(sizes) if n]
+            if full:
+                sums[full] = np.add.reduceat(self.rows[ids], [starts[i] for i in full], axis=0)
+            values = sums[:, :-1] / np.sqrt(DIMENSIONS * np.maximum(1.0, sums[:, -1:]))
+            for text, value, size in zip(fresh, values, sizes):
+                known[text] = (value, size)
+        if not texts:
+            return np.zeros((0, len(LANGUAGES)), dtype=np.float32), np.zeros(0, dtype=np.int32)
+        both = [known[t] for t in texts]
+        return np.array([x for x, _ in both]), np.array([n for _, n in both], dtype=np.int32)
 
 
 def sentences(text: str) -> list[str]:
