@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobsieve.plans import training
+from jobsieve.plans import relational, training
 
-FLAGSHIP = "p4_found"
-MODULES = (training,)
+FLAGSHIP = "dedup_best_url"
+MODULES = (relational, training)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
