@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -49,7 +48,7 @@ def token_set_score(a: str | None, b: str | None) -> float:
     return best
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_score(x, y) for x, y in zip(a, b)], dtype="float64")
 
@@ -95,12 +94,10 @@ def term_cosine(docs: DataFrame, profile: list[str], id_col: str, text_col: str)
 
     weight = {w: 1 + math.log(n) for w, n in sorted(counts.items())}
     size = math.sqrt(sum(v * v for v in weight.values()))
-    tf = [F.size(F.filter(F.col("_w"), lambda t, w=w: t == w)) for w in weight]
+    count = lambda w: F.size(F.filter(F.col("_w"), lambda t: t == w))
+    tf = [count(w) for w in weight]
     logged = [F.when(n > 0, 1 + F.log(n.cast("double"))).otherwise(F.lit(0.0)) for n in tf]
     dot = sum((x * v for x, v in zip(logged, weight.values())), F.lit(0.0))
     norm = F.sqrt(sum((x * x for x in logged), F.lit(0.0)))
     return docs.select(id_col, words.alias("_w")).select(id_col, F.when(norm == 0, F.lit(0.0)).otherwise(dot / (norm * size)).alias("score"))
 
-
-def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    yield from it

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobsieve.plans import relational, training
+from jobsieve.plans import relational, texts, training
 
 FLAGSHIP = "dedup_best_url"
-MODULES = (relational, training)
+MODULES = (relational, texts, training)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
