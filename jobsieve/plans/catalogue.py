@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobsieve.plans import relational, texts, training
+from jobsieve.plans import relational, streams, texts, training
 
 FLAGSHIP = "dedup_best_url"
-MODULES = (relational, texts, training)
+MODULES = (relational, texts, streams, training)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
