@@ -52,23 +52,26 @@ class Profiles:
 
     def __init__(self, prototypes: np.ndarray | None = None, seed: int = 11):
         self.seed = seed
-        self.letters: dict[str, np.ndarray] = {}
+        self.letters: dict[tuple[str, int], np.ndarray] = {}
         self.prototypes = prototypes
         self.words: dict[str, int] = {}
         self.rows = np.zeros((0, len(LANGUAGES) + 1), dtype=np.float32)
         self.known: dict[str, tuple] = {}
         self.grams: dict[str, np.ndarray] = {}
 
-    def letter(self, c: str) -> np.ndarray:
-        v = self.letters.get(c)
+    def letter(self, c: str, place: int) -> np.ndarray:
+        """A letter's vector, permuted by its place from the end of an n-gram."""
+        v = self.letters.get((c, place))
         if v is None:
-            v = self.letters[c] = (np.random.default_rng([self.seed, ord(c)]).integers(0, 2, DIMENSIONS, dtype=np.int8) * 2 - 1).astype(np.int8)
+            base = np.random.default_rng([self.seed, ord(c)]).integers(0, 2, DIMENSIONS, dtype=np.int8) * 2 - 1
+            v = self.letters[c, place] = np.roll(base.astype(np.int8), place)
         return v
 
     def gram(self, g: str) -> np.ndarray:
-        v = np.roll(self.letter(g[0]), len(g) - 1)
-        for i, c in enumerate(g[1:], 2):
-            v = v * np.roll(self.letter(c), len(g) - i)
+        last = len(g) - 1
+        v = self.letter(g[0], last).copy()
+        for i in range(1, len(g)):
+            v *= self.letter(g[i], last - i)
         return v
 
     @staticmethod
