@@ -42,7 +42,7 @@ def feed_xml(raw: DataFrame, source: str, col: str = "raw") -> DataFrame:
     """One RSS item or Atom entry per row; the company follows the first of " at ", " bei ", " - ", " | " in the title."""
     item = F.from_xml(F.col(col), "struct<title:string,link:string,description:string,summary:string,pubDate:string,updated:string>")
     rows = raw.select(item.alias("r")).select("r.*")
-    parts = F.split(F.regexp_replace("title", r"\s(?:at|bei|-|\|)\s", "\u0001"), "\u0001", 2)
+    parts = F.split("title", r"\s(?:at|bei|-|\|)\s", 2)
     return _shape(rows, source, title=F.trim(parts[0]), company=F.trim(F.get(parts, F.lit(1))), url=F.col("link"), description=clean_text(F.coalesce("description", "summary")), posted_date=F.coalesce("pubDate", "updated"))
 
 
