@@ -12,6 +12,7 @@ sentences to the prototypes and bundling again.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -56,7 +57,8 @@ class Profiles:
         self.prototypes = prototypes
         self.words: dict[str, int] = {}
         self.rows = np.zeros((0, len(LANGUAGES) + 1), dtype=np.float32)
-        self.known: dict[str, tuple] = {}
+        self.known: dict[str, int] = {}
+        self.values = np.zeros((0, len(LANGUAGES) + 1), dtype=np.float32)
         self.grams: dict[str, np.ndarray] = {}
 
     def letter(self, c: str, place: int) -> np.ndarray:
@@ -125,13 +127,18 @@ class Profiles:
         Texts that come again, like headings and list entries, are remembered.
         """
         known, fresh = self.known, []
+        if len(known) > 100_000:
+            known.clear()
         for text in texts:
             if text not in known:
+                known[text] = len(known)
                 fresh.append(text)
         if fresh:
-            if len(known) + len(fresh) > 100_000:
-                known.clear()
-                fresh = list(dict.fromkeys(texts))
+            first = len(known) - len(fresh)
+            if len(known) > len(self.values):
+                grown = np.zeros((max(4096, 2 * len(known)), len(LANGUAGES) + 1), dtype=np.float32)
+                grown[:first] = self.values[:first]
+                self.values = grown
             if len(self.words) > 300_000:
                 self.words, self.rows = {}, np.zeros((0, len(LANGUAGES) + 1), dtype=np.float32)
             ids: list[int] = []
@@ -148,13 +155,10 @@ class Profiles:
             full = [i for i, n in enumerate(sizes) if n]
             if full:
                 sums[full] = np.add.reduceat(self.rows[ids], [starts[i] for i in full], axis=0)
-            values = sums[:, :-1] / np.sqrt(DIMENSIONS * np.maximum(1.0, sums[:, -1:]))
-            for text, value, size in zip(fresh, values, sizes):
-                known[text] = (value, size)
-        if not texts:
-            return np.zeros((0, len(LANGUAGES)), dtype=np.float32), np.zeros(0, dtype=np.int32)
-        both = [known[t] for t in texts]
-        return np.array([x for x, _ in both]), np.array([n for _, n in both], dtype=np.int32)
+            self.values[first : first + len(fresh), :-1] = sums[:, :-1] / np.sqrt(DIMENSIONS * np.maximum(1.0, sums[:, -1:]))
+            self.values[first : first + len(fresh), -1] = sizes
+        rows = self.values[[known[t] for t in texts]] if texts else np.zeros((0, len(LANGUAGES) + 1), dtype=np.float32)
+        return rows[:, :-1], rows[:, -1].astype(np.int32)
 
 
 def sentences(text: str) -> list[str]:
@@ -195,31 +199,41 @@ def train(rows: list[tuple[str, str]], rounds: int = ROUNDS) -> np.ndarray:
 
 def describe(profiles: Profiles, text: str) -> list[tuple[str, float]]:
     """(language, confidence) of every language in which a whole sentence of the text is written, the main one first."""
-    units = sentences(text)
-    if not units:
-        return []
-    cosines, sizes = profiles.cosines(units)
-    long = sizes >= LEAST_WORDS
-    weight = (cosines * np.sqrt(np.maximum(sizes, 0))[:, None]).sum(axis=0)
+    return judge(*profiles.cosines(sentences(text)))
+
+
+def judge(cosines: np.ndarray, sizes: np.ndarray) -> list[tuple[str, float]]:
+    """The languages of a text from its sentences' cosines and numbers of words.
+
+    The main language is that of most words; others need a sentence that is clearly theirs.
+    """
     if not sizes.any():
         return []
     best = cosines.argmax(axis=1)
-    # The main language is that of most words; others need a sentence that is clearly theirs.
-    votes = np.bincount(best[long], weights=sizes[long], minlength=len(LANGUAGES)) if long.any() else weight
+    long = sizes >= LEAST_WORDS
+    if not long.any():
+        votes = (cosines * np.sqrt(sizes)[:, None]).sum(axis=0)
+        long = sizes > 0
+    else:
+        votes = np.bincount(best, weights=sizes * long, minlength=len(LANGUAGES))
     main = int(votes.argmax())
-    found = {main: float(_confidence(cosines[long] if long.any() else cosines, main))}
-    for i in np.nonzero(long & (best != main))[0]:
-        k = int(best[i])
-        if cosines[i, k] - cosines[i, main] >= LEAD:
-            found[k] = max(found.get(k, 0.0), float(_confidence(cosines[i : i + 1], k)))
+    found = {main: _confidence(cosines[long], main)}
+    other = best != main
+    if other.any():
+        for i in np.nonzero(other & (sizes >= LEAST_WORDS))[0]:
+            k = int(best[i])
+            if cosines[i, k] - cosines[i, main] >= LEAD:
+                found[k] = max(found.get(k, 0.0), _confidence(cosines[i : i + 1], k))
     return [(LANGUAGES[k], round(c, 4)) for k, c in found.items()]
 
 
 def _confidence(cosines: np.ndarray, k: int) -> float:
     """A softmax over the mean cosines, sharpened to the spread that sentences show."""
-    x = cosines.mean(axis=0) * 40
-    e = np.exp(x - x.max())
-    return e[k] / e.sum()
+    x = cosines.sum(axis=0).tolist()
+    scale = 40 / len(cosines)
+    top = max(x)
+    e = [math.exp((v - top) * scale) for v in x]
+    return e[k] / sum(e)
 
 
 def segments(profiles: Profiles, text: str) -> list[tuple[int, str, str, float]]:
@@ -240,7 +254,7 @@ def segments(profiles: Profiles, text: str) -> list[tuple[int, str, str, float]]
             out[-1][3].append(row)
         else:
             out.append([len(out) + 1, k, [unit], [row]])
-    return [(no, LANGUAGES[k], " ".join(parts), round(float(_confidence(np.array(rows), k)), 4)) for no, k, parts, rows in out]
+    return [(no, LANGUAGES[k], " ".join(parts), round(_confidence(np.array(rows), k), 4)) for no, k, parts, rows in out]
 
 
 def training_rows(df: DataFrame, labels: DataFrame, id_col: str, title_col: str, text_col: str, label_col: str, limit: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
@@ -265,11 +279,17 @@ def field_languages(df: DataFrame, prototypes: np.ndarray, id_col: str = "job_id
             for i, row, size in zip(named, cosines, sizes):
                 if size:
                     k = int(row.argmax())
-                    out.append((ids[i], "title", LANGUAGES[k], round(float(_confidence(row[None, :], k)), 4)))
+                    out.append((ids[i], "title", LANGUAGES[k], round(_confidence(row[None, :], k), 4)))
+            flat, spans = [], []
             for i, text in enumerate(batch.column(2)):
                 text = text.as_py()
-                if text and text.strip():
-                    out += [(ids[i], "description", lang, c) for lang, c in describe(profiles, text)]
+                if text and not text.isspace():
+                    units = sentences(text)
+                    spans.append((ids[i], len(flat), len(flat) + len(units)))
+                    flat += units
+            cosines, sizes = profiles.cosines(flat)
+            for id_, a, b in spans:
+                out += [(id_, "description", lang, c) for lang, c in judge(cosines[a:b], sizes[a:b])]
             columns = list(zip(*out)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.float64()))], ["id", "field_name", "lang", "confidence"])
 
