@@ -185,12 +185,17 @@ def train(rows: list[tuple[str, str]], rounds: int = ROUNDS) -> np.ndarray:
     units = [(LANGUAGES.index(label), s) for label, text in rows if label in LANGUAGES for s in sentences(text or "") if len(WORD.findall(s)) >= LEAST_WORDS - 1]
     profiles = Profiles()
     assigned = [k for k, _ in units]
-    grams = [Counter(g for w in WORD.findall(s.lower()) for g in Profiles.grams_of(w)) for _, s in units]
+    words = [WORD.findall(s.lower()) for _, s in units]
     for step in range(rounds + 1):
         counts = [Counter() for _ in LANGUAGES]
-        for k, c in zip(assigned, grams):
-            counts[k].update(c)
-        profiles.bundle(counts)
+        for k, own in zip(assigned, words):
+            counts[k].update(own)
+        grams = [Counter() for _ in LANGUAGES]
+        for c, own in zip(grams, counts):
+            for w, n in own.items():
+                for g in Profiles.grams_of(w):
+                    c[g] += n
+        profiles.bundle(grams)
         if step < rounds:
             cosines, _ = profiles.cosines([s for _, s in units])
             assigned = cosines.argmax(axis=1).tolist()
