@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,11 +79,27 @@ def fuzzy_dedup(df: DataFrame, id_col: str = "job_id") -> DataFrame:
     distinct = df.select(F.col(id_col).alias("id"), text("title").alias("title"), text("company").alias("company"), text("location").alias("location")).groupBy("title", "company", "location").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     blocks = distinct.withColumn("block", F.xxhash64("location", F.substring_index("title", " ", 2)))
 
-    def lead(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ignore_index=True)
-        return pdf.loc[greedy_leaders(pdf.to_dict("records")), ["id", "copies"]]
-
-    return blocks.groupBy("block").applyInPandas(lead, "id long, copies long").withColumnRenamed("id", id_col)
+    def lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Rows come sorted by block and id; a block may go on in the next batch.
+        held: list[dict] = []
+
+        def leaders() -> pd.DataFrame:
+            kept = [held[i] for i in greedy_leaders(held)]
+            return pd.DataFrame({"id": [r["id"] for r in kept], "copies": [r["copies"] for r in kept]}, dtype="int64")
+
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                if held and row["block"] != held[0]["block"]:
+                    out.append(leaders())
+                    held = []
+                held.append(row)
+            if out:
+                yield pd.concat(out, ignore_index=True)
+        if held:
+            yield leaders()
+
+    return blocks.repartition("block").sortWithinPartitions("block", "id").mapInPandas(lead, "id long, copies long").withColumnRenamed("id", id_col)
 
 
 def term_cosine(docs: DataFrame, profile: list[str], id_col: str, text_col: str) -> DataFrame:
