@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -79,27 +80,28 @@ def fuzzy_dedup(df: DataFrame, id_col: str = "job_id") -> DataFrame:
     distinct = df.select(F.col(id_col).alias("id"), text("title").alias("title"), text("company").alias("company"), text("location").alias("location")).groupBy("title", "company", "location").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     blocks = distinct.withColumn("block", F.xxhash64("location", F.substring_index("title", " ", 2)))
 
-    def lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows come sorted by block and id; a block may go on in the next batch.
         held: list[dict] = []
 
-        def leaders() -> pd.DataFrame:
-            kept = [held[i] for i in greedy_leaders(held)]
-            return pd.DataFrame({"id": [r["id"] for r in kept], "copies": [r["copies"] for r in kept]}, dtype="int64")
+        def leaders() -> list[dict]:
+            return [held[i] for i in greedy_leaders(held)]
 
-        for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
+        def emit(kept: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in kept], pa.int64()) for c in ("id", "copies")], ["id", "copies"])
+
+        for batch in batches:
+            kept = []
+            for row in batch.to_pylist():
                 if held and row["block"] != held[0]["block"]:
-                    out.append(leaders())
+                    kept += leaders()
                     held = []
                 held.append(row)
-            if out:
-                yield pd.concat(out, ignore_index=True)
+            yield emit(kept)
         if held:
-            yield leaders()
+            yield emit(leaders())
 
-    return blocks.repartition("block").sortWithinPartitions("block", "id").mapInPandas(lead, "id long, copies long").withColumnRenamed("id", id_col)
+    return blocks.repartition("block").sortWithinPartitions("block", "id").mapInArrow(lead, "id long, copies long").withColumnRenamed("id", id_col)
 
 
 def term_cosine(docs: DataFrame, profile: list[str], id_col: str, text_col: str) -> DataFrame:
