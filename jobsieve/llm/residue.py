@@ -37,7 +37,7 @@ LATIN = re.compile(r"(?i)^(lorem|ipsum|dolor|dolem|sit|sitam|amet|consect\w*|con
 _ID = r"[^\W\d_](?:[\w.\- ]{0,38}\w)?"
 DOUBLE = re.compile(rf"\{{\{{\s*{_ID}\s*\}}\}}|\{{%\s*{_ID}\s*%\}}|<%=?\s*{_ID}\s*%>|\$\{{\s*{_ID}\s*\}}|\[\[\s*{_ID}\s*\]\]|<<\s*{_ID}\s*>>|«{_ID}»|@@{_ID}@@|%%{_ID}%%|__[^\W_](?:[\w. ]{{0,38}}[^\W_])?__|\|\*\s*{_ID}\s*\*\||\{{\d\}}|%\(\w+\)s|\[object Object\]")
 SINGLE = re.compile(rf"\{{\s*({_ID})\s*\}}|(?<!\[)\[\s*({_ID})\s*\](?!\])|(?<!<)<\s*({_ID})\s*>(?!>)|#({_ID})#|%({_ID})%")
-UNSET = re.compile(r"\bundefined undefined\b|\bNaN\b|\bnull null\b|^\W*(?:undefined|null|none|nil)\s*(?:\([^)]*\))?\W*$|(?:\b(?:join|at|for|to|from|with|by|in|of|is|bei|für|an|von|mit|chez|pour|voor|bij|per|presso|en|con|para)|:)\s+(?:undefined|null)\b(?!\s+(?:und|and|or|oder|bis|to)\b)")
+UNSET = re.compile(r"\bundefined undefined\b|\bTODO\s*:|\bFIXME\b|\bTBD\b|\bNaN\b|\bnull null\b|^\W*(?:undefined|null|none|nil)\s*(?:\([^)]*\))?\W*$|(?:\b(?:join|at|for|to|from|with|by|in|of|is|bei|für|an|von|mit|chez|pour|voor|bij|per|presso|en|con|para)|:)\s+(?:undefined|null)\b(?!\s+(?:und|and|or|oder|bis|to)\b)")
 FILLER = re.compile(
     r"(?i)\bx{3,}\b(?:\W|$)|\b(?:asdf|jklö|qwertz?y?)\b|\b(bla|test|muster|text|dummy|foo|xx|lorem|blindtext|platzhalter|beispiel)(?:\W+\1\b){1,}|\bblindtext\b|\b(?:lorem|ipsum)\b|\b(?:mustertitel|mustertext|beispieltext|dummytext|fülltext)\b"
     r"|\b(?:sample|dummy|placeholder|filler|example) text\b|\bto be replaced before\b|\b(?:text|description|content|copy|beschreibung) (?:goes|comes|kommt|steht) (?:here|hier)\b|\bhier (?:steht|kommt|folgt) (?:später |noch |bald )?(?:der|ihr|dein|ein) (?:\w+)?text\b"
@@ -60,7 +60,7 @@ MESSAGE = re.compile(
     r"|wartungsarbeiten\b\W|(?:scheduled |planned )?maintenance\W*(?:$|:|in progress|mode)|(?:the |this |our )?(?:site|page|service|seite|website|webseite) (?:is |ist )?(?:currently |temporarily |derzeit |gerade )?(?:under|down for|in|wegen) (?:maintenance|construction|wartung)|wir sind in kürze wieder|we(?:'ll| will) be back (?:soon|shortly)|(?:site|page) en maintenance|en mantenimiento\b|(?:de )?site is in onderhoud|sito in manutenzione"
     r"|(?:please )?(?:enable|activate|turn on|switch on|allow) (?:java)?scripts?\b|(?:bitte )?(?:aktiviere(?:n sie)? |schalte(?:n sie)? )?javascript (?:aktivieren|einschalten|ist .{0,30}(?:deaktiviert|ausgeschaltet|abgeschaltet))|(?:this|the|our) (?:application|app|site|page|website) (?:needs|requires) (?:java)?scripts?|you need (?:to enable )?(?:java)?scripts? to|(?:java)?scripts? (?:is|are|must be) (?:disabled|enabled|turned off|deactivated)|(?:schakel|zet) javascript|turn (?:it|them|scripts?) on in your (?:settings|browser)"
     r"|(?:render|type|reference|syntax|runtime|value|key|null\w*)(?:error|exception)\b|\w+exception\b\W|traceback \(most|uncaught |stack trace|fatal error|segmentation fault"
-    r"|(?:fehler beim|error (?:while )?|erreur (?:lors du|de) |error al |fout bij het |errore durante il )(?:laden|loading|chargement|cargar|caricamento)|(?:failed|unable) to load|could not load"
+    r"|(?:fehler beim |error (?:while )?|erreur (?:lors du|de) |error al |fout bij het |errore durante il )(?:laden|loading|chargement|cargar|caricamento)|(?:failed|unable) to load|could not load"
     r"|(?:oops\W+)?(?:something|etwas) (?:went wrong|ist schiefgelaufen|ist schief gegangen)|oops\b|ups\b\W|hoppla\b|une erreur (?:est survenue|s'est produite)|se ha producido un error|er is (?:een fout|iets mis)|si è verificato un errore|(?:ein|es ist ein) fehler (?:ist )?aufgetreten|an error (?:has )?occurred"
     r"|reload the page|please (?:reload|refresh)|(?:please )?(?:try|come back) again later|veuillez réessayer|bitte versuchen sie es (?:später|erneut)|(?:por favor,? )?inténtelo? de nuevo|probeer het later|riprova più tardi"
     r")"
@@ -71,7 +71,7 @@ NOSCRIPT = re.compile(r"(?i)<noscript\b")
 #: What the patterns above need at least; a line of a longer text is only looked at for the groups whose strings it has.
 SLOT_GROUP, FILLER_GROUP, MESSAGE_GROUP = 1, 2, 4
 TRIGGERS = {
-    SLOT_GROUP: "{|[|<|#|%|@@|__|«|undefined|nan|null|none|nil".split("|") + ["|*"],
+    SLOT_GROUP: "{|[|<|#|%|@@|__|«|undefined|nan|null|none|nil|todo|fixme|tbd".split("|") + ["|*"],
     FILLER_GROUP: "xxx|asdf|jklö|qwert|bla bla|test test|text|muster|dummy|foo foo|xx xx|lorem|ipsum|platzhalter platz|beispiel|ignor|to be replaced|goes here|comes here|untitled|unbenannt|sans titre|sin título|zonder titel|senza titolo|testo|texto|fermen|lacus|magnis|consequa|vitae|auctor|rutrum|morbi|nulla|urna|dolor|consect|sitam|sedem|velor|acum|felis".split("|"),
     MESSAGE_GROUP: (
         "error|fehler|erreur|errore|fout|código |codice |http|status|not found|be found|'t be found|nicht gefunden|introuvable|'t exist|not exist|no longer|existiert nicht|verfügbar|n'existe|non trouvée|encontrad|no disponible|no existe|niet gevonden|bestaat niet|niet beschikbaar|non trovat|disponibile|non esiste| gone|denied|verweigert|refusé|"

@@ -12,15 +12,15 @@ WHOLE_TEXT = "We look after pumps of every kind. You will plan the work of the t
 
 def test_residue_evidence():
     cases = {
-        "placeholder": ["Dear {{name}}, hello", "Start: __DATE__", "We hire for [company] now", "pay %SALARY% a year", "${city} office", "As a <job_title> you", "NaN/NaN/NaN start", "{0} of {1}"],
+        "placeholder": ["Dear {{name}}, hello", "Start: __DATE__", "We hire for [company] now", "pay %SALARY% a year", "${city} office", "As a <job_title> you", "NaN/NaN/NaN start", "{0} of {1}", "TODO: add benefits."],
         "filler": ["Lorem ipsum dolor sit amet", "bla bla bla", "asdf", "Sample text, to be replaced", "XXXXX, then more"],
-        "error": ["404 Not Found", "Error 500: oops", "Your session has expired. Please log in again.", "Access denied.", "Die Seite wurde nicht gefunden", "Gateway timeout after 30 ms", "We are checking your browser before we let you in"],
+        "error": ["404 Not Found", "Error 500: oops", "Fehler beim Laden der Anzeige.", "Your session has expired. Please log in again.", "Access denied.", "Die Seite wurde nicht gefunden", "Gateway timeout after 30 ms", "We are checking your browser before we let you in"],
         "script": ["Please enable JavaScript to view this page.", "<noscript>x</noscript>", "Vous devez activer les scripts pour afficher ce contenu."],
     }
     for kind, lines in cases.items():
         for line in lines:
             assert evidence(line) == kind, line
-    for line in ("We write templates with {{ }} and {}.", "You reduce error pages in our shop.", "[Teilzeit] Planer", "JavaScript is required for this role.", "<p>Text</p>", "50 % and 20 % more", "Access to the site is denied without shoes.", "C# and #teamwork", ""):
+    for line in ("We write templates with {{ }} and {}.", "You reduce error pages in our shop.", "[Teilzeit] Planer", "JavaScript is required for this role.", "<p>Text</p>", "50 % and 20 % more", "Access to the site is denied without shoes.", "C# and #teamwork", "Hacemos todo: planes y más.", ""):
         assert evidence(line) == "", line
     assert [n for n, _, _ in evidence_lines("ok\n\n404 – page gone\nfine")] == [3]
 
