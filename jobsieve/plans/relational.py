@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -234,7 +232,7 @@ def _tpch_join(spark: SparkSession, d: str) -> DataFrame:
     return orders.join(customers, "c_custkey").groupBy("n_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-QUERIES["orders_by_nation"] = partial(_tpch_join)
+QUERIES["orders_by_nation"] = _tpch_join
 SQL["orders_by_nation"] = "SELECT n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"
 
 
