@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobsieve.llm.boilerplate import FURNITURE, page_styles
 from jobsieve.session import cut_lineage
 
 WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
@@ -111,7 +112,7 @@ def examine(text: str) -> tuple[int, str]:
         return (CUT if m[1] or open_structure(core if closed == tail else end) else DOTTED), core
     if open_structure(end):
         return CUT, end
-    return (WHOLE if closed[-1:] in ".!?:;)]»”\"'“" else OPEN), end
+    return (WHOLE if closed[-1:] in '.!?»”"“' and closed else OPEN), end
 
 
 def start_words(unit: str) -> str:
@@ -175,6 +176,8 @@ def scan(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFram
                     ends[triple] += 1
                     starts[start] += 1
                 status, core = examine(text)
+                if status == OPEN and page_styles([x for x in text[-900:].split("\n") if x.strip()][-8:])[-1] in FURNITURE:
+                    status = WHOLE  # the page ends with a line of its site, so that the posting above it is complete
                 last = units[-1]
                 if status == DOTTED:
                     last = DOTS.sub("", last)
