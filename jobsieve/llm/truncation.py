@@ -9,6 +9,8 @@ it) anywhere in the corpus. Two baselines then decide the texts whose end is nei
   pile up beyond chance;
 * completeness: whether the last words end a unit elsewhere, stand in a slot that is filled with ever new names, or
   close a good part of all units that begin as this one (closing lines that always stand last; cuts fall anywhere).
+  An end of three words or fewer may be a piece of a beginning, so it is held against all units that begin with its
+  characters, and it must be whole words there.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ WHOLE, DOTTED, OPEN, CUT = 0, 1, 2, 3
 PILE_WIDTH = 8
 #: A pile holds this share of the source's unfinished texts (different ends) at least, and so many.
 PILE_SHARE, PILE_LEAST = 0.15, 6
-#: Open ends that close this share of the units with the same beginning, and so many, are whole.
+#: Open ends that close this share of the units with the same beginning, in so many different texts, are whole.
 CLOSING_SHARE, CLOSING_LEAST = 0.02, 3
 #: A context of two words is a slot for names if at least so many different words end a unit after it.
 SLOT_WORDS = 25
@@ -130,10 +132,13 @@ def _units(text: str) -> Iterator[str]:
 
 
 def scan(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """Rows (kind 0: id, source, status, chars, bytes, triple, context, start, name_like), unit ends (kind 1: triple, context, n) and unit beginnings (kind 2: start, n)."""
+    """Rows (kind 0: id, source, status, chars, bytes, triple, context, start, head, text, name_like), unit ends (kind 1: triple, context, n) and unit beginnings (kind 2: start, head, n).
+
+    start is the hash of head, a beginning of three words at most; rows have head only where their last unit has no more words. text is a hash of the text.
+    """
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    fields = [("kind", pa.int8()), ("id", pa.int64()), ("source", pa.string()), ("status", pa.int8()), ("chars", pa.int32()), ("bytes", pa.int32()), ("triple", pa.int64()), ("context", pa.int64()), ("start", pa.int64()), ("name_like", pa.bool_()), ("n", pa.int64())]
-    schema = "kind byte, id long, source string, status byte, chars int, bytes int, triple long, context long, start long, name_like boolean, n long"
+    fields = [("kind", pa.int8()), ("id", pa.int64()), ("source", pa.string()), ("status", pa.int8()), ("chars", pa.int32()), ("bytes", pa.int32()), ("triple", pa.int64()), ("context", pa.int64()), ("start", pa.int64()), ("head", pa.string()), ("text", pa.int64()), ("name_like", pa.bool_()), ("n", pa.int64())]
+    schema = "kind byte, id long, source string, status byte, chars int, bytes int, triple long, context long, start long, head string, text long, name_like boolean, n long"
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends: Counter = Counter()
@@ -146,8 +151,8 @@ def scan(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFram
         def flush() -> pa.RecordBatch:
             rows = []
             for (a, b, c), n in ends.items():
-                rows.append((1, None, None, None, None, None, _hash(f"{a} {b} {c}"), _hash(f"{a} {b}"), None, None, n))
-            rows += [(2, None, None, None, None, None, None, None, _hash(x), None, n) for x, n in starts.items()]
+                rows.append((1, None, None, None, None, None, _hash(f"{a} {b} {c}"), _hash(f"{a} {b}"), None, None, None, None, n))
+            rows += [(2, None, None, None, None, None, None, None, _hash(x), x, None, None, n) for x, n in starts.items()]
             ends.clear()
             starts.clear()
             return emit(rows)
@@ -182,13 +187,13 @@ def scan(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFram
                 if status == DOTTED:
                     last = DOTS.sub("", last)
                 a, b, c = key_words(last)
-                start = start_words(units[-1])
+                start = start_words(last)
                 starts[start] += 1
                 if status == WHOLE:
                     ends[a, b, c] += 1
                 found = WORD.findall(core[-80:])
                 name_like = bool(found) and len(found[-1]) >= 4 and (found[-1][0].isupper() or found[-1].isdigit())
-                rows.append((0, id_, src, status, len(core), len(core.encode("utf-8", "replace")), _hash(f"{a} {b} {c}"), _hash(f"{a} {b}"), _hash(start), name_like, None))
+                rows.append((0, id_, src, status, len(core), len(core.encode("utf-8", "replace")), _hash(f"{a} {b} {c}"), _hash(f"{a} {b}"), _hash(start), start if len(last.split()) <= 3 else None, _hash(text), name_like, None))
             yield emit(rows)
             if len(ends) > 200_000:
                 yield flush()
@@ -217,6 +222,25 @@ def field_limits(rows: DataFrame) -> DataFrame:
     )
 
 
+def closing_lines(undecided: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, triple, closing): open ends that are closing lines. starts: (start, head, begun).
+
+    The share is one of all units with the same beginning, so that it stays as it is when the corpus grows; copies of a
+    text are one text.
+    """
+    ends = undecided.groupBy("start", "head", "triple").agg(F.count("*").alias("closed"), F.countDistinct("text").alias("texts")).where(F.col("texts") >= CLOSING_LEAST)
+    long = ends.where("head is null").join(starts.select("start", "begun"), "start")
+    short = ends.where("head is not null")
+    pieces = F.transform(F.sequence(F.lit(1), F.length("head")), lambda i: F.struct(F.substring("head", F.lit(1), i).alias("head"), F.substring("head", i + 1, F.lit(1)).rlike(r"[\p{L}\p{N}]").alias("inside")))
+    begun = (
+        starts.where("head != ''").select(F.explode(pieces).alias("p"), "begun").groupBy("p.head", "p.inside").agg(F.sum("begun").alias("n"))
+        .join(short.select("head").distinct(), "head", "left_semi").groupBy("head").agg(F.sum("n").alias("begun"), F.coalesce(F.sum(F.when(F.col("inside"), F.col("n"))), F.lit(0)).alias("inside"))
+    )
+    words = short.join(begun, "head").where(F.col("inside") < 0.5 * F.col("begun"))
+    columns = ["start", "triple", "closed", "begun"]
+    return long.select(columns).unionByName(words.select(columns)).where(F.col("closed") >= CLOSING_SHARE * F.col("begun")).select("start", "triple", F.lit(True).alias("closing")).distinct()
+
+
 def find_truncated(df: DataFrame, id_col: str = "job_id", text_col: str = "description", source_col: str = "source") -> DataFrame:
     """Distinct ids of the texts that stop inside a word or before their last sentence or list entry is complete.
 
@@ -227,17 +251,14 @@ def find_truncated(df: DataFrame, id_col: str = "job_id", text_col: str = "descr
     rows = scanned.where("kind = 0").withColumn("source", F.coalesce("source", F.lit("")))
     ends = scanned.where("kind = 1").groupBy("triple", "context").agg(F.sum("n").alias("n"))
     slots = ends.groupBy("context").agg(F.count("*").alias("words")).where(F.col("words") >= SLOT_WORDS).select("context", F.lit(True).alias("slot"))
-    starts = scanned.where("kind = 2").groupBy("start").agg(F.sum("n").alias("begun"))
+    starts = scanned.where("kind = 2").groupBy("start", "head").agg(F.sum("n").alias("begun"))
     limits = field_limits(rows)
     undecided = rows.where(F.col("status").isin(DOTTED, OPEN))
     at_limit = (
         undecided.join(limits.where("measure = 'chars'").select("source", F.col("size").alias("chars"), F.lit(True).alias("by_chars")), ["source", "chars"], "left")
         .join(limits.where("measure = 'bytes'").select("source", F.col("size").alias("bytes"), F.lit(True).alias("by_bytes")), ["source", "bytes"], "left")
     )
-    closing = (
-        undecided.groupBy("start", "triple").agg(F.count("*").alias("closed")).join(starts, "start")
-        .where((F.col("closed") >= CLOSING_LEAST) & (F.col("closed") >= CLOSING_SHARE * F.col("begun"))).select("start", "triple", F.lit(True).alias("closing"))
-    )
+    closing = closing_lines(undecided, starts)
     judged = at_limit.join(ends.select("triple", F.lit(True).alias("ended")), "triple", "left").join(slots, "context", "left").join(closing, ["start", "triple"], "left")
     limited = F.coalesce("by_chars", F.lit(False)) | F.coalesce("by_bytes", F.lit(False))
     complete = F.coalesce("ended", "closing", F.lit(False)) | (F.coalesce("slot", F.lit(False)) & F.col("name_like"))

@@ -58,6 +58,18 @@ def test_truncation_by_source_limit_and_completeness(spark):
     assert find_truncated(df.where("false")).count() == 0
 
 
+def test_truncation_inside_the_first_words_of_a_unit(spark):
+    pieces = ["Wir freuen u", "Wir biet", "Neben der Vergütu", "Dal primo g"]
+    units = ["Wir freuen uns auf Post.", "Wir bieten ruhige Arbeit.", "Neben der Vergütung gibt es Obst.", "Dal primo giorno si lavora."]
+    rows = [(1000 * i + j, f"Angebot {chr(97 + j % 26)}{chr(97 + j // 26)} steht hier. {' '.join(units)}", "s") for i in range(2) for j in range(60)]
+    rows += [(10_000 + 10 * i + j, f"Text {chr(97 + j)} hat {'viele ' * (7 * i + 11 * j)}Seiten. {p}", f"s{i}{j}") for i, p in enumerate(pieces) for j in range(5)]
+    rows += [(20_000 + j, f"Text {chr(97 + j)} hat {'rote ' * 13 * j}Seiten. Kennziffer K{j}", f"t{j}") for j in range(5)]
+    rows += [(30_000 + j, "Immer ein Text. Danach sieht der Planer je", f"u{j}") for j in range(5)]
+    df = spark.createDataFrame(rows, "job_id long, description string, source string")
+    got = {r.job_id for r in find_truncated(df).collect()}
+    assert got == {10_000 + 10 * i + j for i in range(4) for j in range(5)} | {30_000 + j for j in range(5)}
+
+
 def test_boilerplate(spark):
     page = "Home · Find jobs · Employers · Salaries\nWe use cookies to make this site better.\n\n" + WHOLE_TEXT + "\nYour tasks\n* Plan the work\nPrint\nSimilar jobs\nPlanner for pumps – Town | 3 days ago\nEngineer , Other Town\nPrivacy / Terms / Contact us\n© 2024 Site - all rights reserved"
     rows = [(i, page, "https://s.example/1") for i in range(150)] + [(500 + i, WHOLE_TEXT + "\nYour tasks\n* Plan the work", "https://t.example/1") for i in range(150)] + [(900, None, None), (901, "", "https://s.example/2"), (902, "Print", "https://t.example/3")]
