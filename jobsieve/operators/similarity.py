@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from jobsieve.session import cut_lineage
+
+#: Values of a block; the distinct values are compared block by block.
+BLOCK = 2000
+
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two float arrays in double arithmetic; 0 for a zero vector."""
@@ -70,38 +76,173 @@ def greedy_leaders(rows: list[dict], title: float = 80.0, company: float = 80.0,
     return leaders
 
 
-def fuzzy_dedup(df: DataFrame, id_col: str = "job_id") -> DataFrame:
-    """Leaders of near-identical postings, in order of id.
+def alike_candidates(x: list[str], y: list[str], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of all pairs whose token_set_score may be over `least`, and few others.
 
-    Exact copies (title, company, place) are merged by a group first, so that a block holds different postings only; the
-    blocks are pairs of place and first word of the title, which bounds them; rows that agree in neither are not compared.
+    Exact bounds: words in common make s characters of a string of l, 2 s / (s + l) is over the score only if s is over
+    score / (2 - score) l; a common subsequence is no longer than the characters in common, letter by letter.
     """
-    text = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", " ")))
-    distinct = df.select(F.col(id_col).alias("id"), text("title").alias("title"), text("company").alias("company"), text("location").alias("location")).groupBy("title", "company", "location").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    blocks = distinct.withColumn("block", F.xxhash64("location", F.substring_index("title", " ", 2)))
+    share = least / 100
+    sets = [[set(v.split()) for v in side] for side in (x, y)]
+    joined = [[" ".join(w) for w in side] for side in sets]
+    length = [np.array([len(v) for v in side], dtype=np.float32) for side in joined]
+    # The n-th occurrence of a character is a feature, so that a product counts the characters in common.
+    column: dict[tuple[str, int], int] = {}
+    cells: list[tuple[list[int], list[int]]] = []
+    for side in joined:
+        rows, columns = [], []
+        for i, v in enumerate(side):
+            seen: dict[str, int] = {}
+            for c in v:
+                n = seen[c] = seen.get(c, 0) + 1
+                rows.append(i)
+                columns.append(column.setdefault((c, n), len(column)))
+        cells.append((rows, columns))
+    letters = [np.zeros((len(side), max(1, len(column))), dtype=np.float32) for side in joined]
+    for m, (rows, columns) in zip(letters, cells):
+        m[rows, columns] = 1
+    both = length[0][:, None] + length[1][None, :]
+    found = letters[0] @ letters[1].T > share / 2 * both - 1e-3
+    # Words fall into buckets; two words in one bucket only add candidates.
+    buckets = 1024
+    word: dict[str, int] = {}
+    words = [np.zeros((len(side), buckets), dtype=np.float32) for side in sets]
+    for k, side in enumerate(sets):
+        for i, v in enumerate(side):
+            for w in v:
+                n = word.setdefault(w, len(word)) % buckets
+                words[k][i, n] = words[k][i, n] + len(w) + 1 if k == 0 else 1
+    found |= words[0] @ words[1].T - 1 > share / (2 - share) * np.minimum(length[0][:, None], length[1][None, :]) - 1e-3
+    return np.nonzero(found)
+
+
+def alike_values(values: DataFrame, least: float) -> DataFrame:
+    """(v, w): all pairs of the distinct values v, each with itself too, that are more alike than `least`.
+
+    Blocks of values are compared with each other, so that no pair is left out; the work is the square of the distinct values.
+    """
+    blocks = max(1, -(-values.count() // BLOCK))
+    own = F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    spread = values.select("v", own.alias("own"), F.explode(pairs).alias("p")).select("v", "own", "p.i", "p.j")
+
+    def compare(df: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(df["i"].iloc[0]), int(df["j"].iloc[0])
+        x, y = df["v"][df["own"] == i].tolist(), df["v"][df["own"] == j].tolist()
+        out = []
+        for a, b in zip(*(k.tolist() for k in alike_candidates(x, y, least))) if x and y else ():
+            if (i < j or x[a] <= y[b]) and token_set_score(x[a], y[b]) > least:
+                out.append((x[a], y[b]))
+        return pd.DataFrame(out + [(b, a) for a, b in out if a != b], columns=["v", "w"], dtype="object")
+
+    return spread.groupBy("i", "j").applyInPandas(compare, "v string, w string")
 
-    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows come sorted by block and id; a block may go on in the next batch.
-        held: list[dict] = []
 
-        def leaders() -> list[dict]:
-            return [held[i] for i in greedy_leaders(held)]
+def _earlier(rows: DataFrame, title: float, same_place: float) -> DataFrame:
+    """(id, key) of the judged rows that come after a judge near them in their group; only the different titles of one group are held.
+
+    rows: group (c and a company, or p and a place), id, key, title, judged, judge.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, seen, least = None, {}, 0.0
+        bits: dict[tuple[str, int], int] = {}
+        forms: dict[str, tuple[int, int, set[str]]] = {}
+        scores: dict[tuple[str, str], float] = {}
 
-        def emit(kept: list[dict]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in kept], pa.int64()) for c in ("id", "copies")], ["id", "copies"])
+        def form(title: str) -> tuple[int, int, set[str]]:
+            """The letters as bits (the n-th occurrence of each), their number, the words."""
+            found = forms.get(title)
+            if found is None:
+                if len(forms) >= 100_000:
+                    forms.clear()
+                words = set(title.split())
+                joined, mask, counts = " ".join(words), 0, {}
+                for c in joined:
+                    n = counts[c] = counts.get(c, 0) + 1
+                    mask |= 1 << bits.setdefault((c, n), len(bits))
+                found = forms[title] = (mask, len(joined), words)
+            return found
+
+        def near(name: str, titles: dict[str, tuple[int, int, set[str]]], least: float) -> bool:
+            if name in titles:
+                return True
+            if not titles:
+                return False
+            mask, length, words = form(name)
+            share = least / 100
+            few, half = share / (2 - share), share / 2  # the bounds of alike_candidates
+            for t, (m, n, w) in titles.items():
+                letters = (mask & m).bit_count()
+                if letters <= few * (length if length < n else n):
+                    continue
+                if letters <= half * (length + n):
+                    shared = words & w
+                    if not shared or sum(map(len, shared)) + len(shared) - 1 <= few * (length if length < n else n):
+                        continue
+                pair = (name, t) if name < t else (t, name)
+                score = scores.get(pair)
+                if score is None:
+                    if len(scores) >= 1_000_000:
+                        scores.clear()
+                    score = scores[pair] = token_set_score(*pair)
+                if score > least:
+                    return True
+            return False
 
         for batch in batches:
-            kept = []
-            for row in batch.to_pylist():
-                if held and row["block"] != held[0]["block"]:
-                    kept += leaders()
-                    held = []
-                held.append(row)
-            yield emit(kept)
-        if held:
-            yield emit(leaders())
-
-    return blocks.repartition("block").sortWithinPartitions("block", "id").mapInArrow(lead, "id long, copies long").withColumnRenamed("id", id_col)
+            out = []
+            for g, id_, key, words, judged, judge in zip(*(c.to_pylist() for c in batch.columns)):
+                if g != group:
+                    group, seen, least = g, {}, title if g[0] == "c" else same_place
+                if judged and near(words, seen, least):
+                    out.append((id_, key))
+                if judge and words not in seen:
+                    seen[words] = form(words)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], ["id", "key"])
+
+    ordered = rows.select("group", "id", "key", "title", "judged", "judge").repartition("group").sortWithinPartitions("group", "id", "key")
+    return ordered.mapInArrow(run, "id long, key long").distinct()
+
+
+def fuzzy_dedup(df: DataFrame, id_col: str = "job_id", title: float = 80.0, company: float = 80.0, same_place: float = 90.0) -> DataFrame:
+    """Leaders of near-identical postings, in order of id: what greedy_leaders gives over the whole table.
+
+    Exact copies (title, company, place) are merged by a group first. A row near an earlier leader is a duplicate; near are
+    rows of alike companies with alike titles, whatever their place, and rows of one place with nearly the same title.
+    Rounds settle the order without one long loop: a row with no earlier open row near it leads, a row near a leader is
+    dropped, the others wait. Rows meet in the groups of the companies alike to theirs, and in the group of their place.
+    """
+    text = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", " ")))
+    distinct = df.select(F.col(id_col).cast("long").alias("id"), text("title").alias("title"), text("company").alias("company"), text("location").alias("location")).groupBy("title", "company", "location").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    rows = cut_lineage(distinct.withColumn("key", F.xxhash64("title", "company", "location")))
+    alike = cut_lineage(alike_values(rows.where("company != ''").select(F.col("company").alias("v")).distinct(), company).where("v != w"))
+
+    def groups(of: DataFrame, judged: bool, judge: bool) -> DataFrame:
+        own = of.where("company != ''").select(F.concat(F.lit("c"), "company").alias("group"), "id", "key", "title").unionByName(of.select(F.concat(F.lit("p"), "location").alias("group"), "id", "key", "title"))
+        return own.withColumns({"judged": F.lit(judged), "judge": F.lit(judge)})
+
+    def as_judges(of: DataFrame) -> DataFrame:
+        """In the groups of the other companies that are alike; the first row of a title is enough."""
+        first = of.groupBy("company", "title").agg(F.min(F.struct("id", "key")).alias("x")).select(F.col("company").alias("w"), "title", "x.id", "x.key")
+        return first.join(alike, "w").select(F.concat(F.lit("c"), "v").alias("group"), "id", "key", "title", F.lit(False).alias("judged"), F.lit(True).alias("judge"))
+
+    def mark(of: DataFrame, met: DataFrame) -> DataFrame:
+        met = met.select(F.col("id").alias("i"), F.col("key").alias("k"), F.lit(True).alias("met"))
+        return cut_lineage(of.join(met, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left").drop("i", "k"))
+
+    done = [rows.where("title = ''").select("id", "copies")]  # a title without words is like no other
+    open_rows = rows.where("title != ''")
+    while not open_rows.isEmpty():
+        marked = mark(open_rows, _earlier(groups(open_rows, True, True).unionByName(as_judges(open_rows)), title, same_place))
+        leaders, waiting = marked.where("met is null").drop("met"), marked.where("met").drop("met")
+        done.append(leaders.select("id", "copies"))
+        near = _earlier(groups(waiting, True, False).unionByName(groups(leaders, False, True)).unionByName(as_judges(leaders)), title, same_place)
+        open_rows = mark(waiting, near).where("met is null").drop("met")
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out.withColumnRenamed("id", id_col)
 
 
 def term_cosine(docs: DataFrame, profile: list[str], id_col: str, text_col: str) -> DataFrame:

@@ -57,6 +57,24 @@ def test_fuzzy_dedup(spark):
     assert sorted((r.job_id, r.copies) for r in got) == [(1, 2), (4, 1)]
 
 
+def test_fuzzy_dedup_over_places_and_title_words(spark):
+    schema = "job_id long, title string, company string, location string"
+    rows = [(1, "Data engineer", "Acme Pumps", "Gr.Dornbach"), (2, "Data engineer", "Acme Pumps", "Großdornbach"), (3, "Senior data engineer", "Acme Pumps", None), (4, "Planner of pumps", "Belt", "Town"), (5, "Our planner of pumps", "Other", "Town")]
+    got = similarity.fuzzy_dedup(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.job_id, r.copies) for r in got) == [(1, 1), (4, 1)]
+    assert similarity.fuzzy_dedup(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_fuzzy_dedup_against_greedy_leaders(spark):
+    rng = random.Random(4)
+    words = ["planner", "engineer", "senior", "pumps", "for", "data", "team", "plannre", "lead"]
+    firms = ["acme pumps gmbh", "acme pmups gmbh", "acme gmbh", "belt gmbh", "belt & co", "", "gmbh", "zirkon"]
+    rows = {(" ".join(rng.choice(words) for _ in range(rng.randrange(0, 5))), rng.choice(firms), rng.choice(["a", "b", "c", "d", ""])) for _ in range(400)}
+    rows = [dict(zip(("title", "company", "location"), r), job_id=i) for i, r in enumerate(sorted(rows, key=lambda _: rng.random()))]
+    got = similarity.fuzzy_dedup(spark.createDataFrame(pd.DataFrame(rows))).collect()
+    assert sorted(r.job_id for r in got) == [rows[i]["job_id"] for i in similarity.greedy_leaders(rows)]
+
+
 def test_last_before_against_merge_asof(spark):
     rng = random.Random(5)
     at = lambda: datetime(2024, 1, 1 + rng.randrange(9), rng.randrange(24), rng.randrange(60))
