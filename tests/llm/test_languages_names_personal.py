@@ -72,6 +72,20 @@ def test_name_variants(spark):
     assert N.variant_pairs(df.where("false")).count() == 0
 
 
+def test_an_employer_typed_in_many_ways_keeps_its_key(spark):
+    import random
+
+    rng = random.Random(8)
+    invented = lambda: "".join(rng.choice("bdfgklmnprstvwz") + rng.choice("aeiou") for _ in range(6))
+    many = [f"Zirkonfal{' ' * i} Software" for i in range(1, N.COMMON + 20)]
+    trades = ["Software", "Bakery", "Garden", "Paint", "Pumps", "Legal"]
+    rows = [*many, "Zirkonfal SW", *(f"{invented()} {t}" for t in trades for _ in range(400)), *(f"Annegret {invented()} {t}" for t in trades for _ in range(40)), "Annegret Q. Paint", "Annegret Quartzen Paint"]
+    pairs = {(r.a, r.b): set(r["keys"]) for r in N.candidate_pairs(N._parsed(spark.createDataFrame([(n,) for n in rows], "company string"), "company")).collect()}
+    assert all((min(n, "Zirkonfal SW"), max(n, "Zirkonfal SW")) in pairs for n in many)
+    assert pairs["Annegret Q. Paint", "Annegret Quartzen Paint"] == {"annegret", "paint"}
+    assert not [1 for a, b in pairs if a.endswith("Legal") and b.endswith("Legal") and "Annegret" not in a + b and pairs[a, b] == {"legal"}]
+
+
 def test_collision_curve_and_slips():
     b = N.bands_for(0.5, 0.98, 4)
     assert 1 - (1 - 0.5**4) ** b >= 0.98 > 1 - (1 - 0.5**4) ** (b - 1)
