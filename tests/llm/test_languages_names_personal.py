@@ -86,6 +86,11 @@ def test_an_employer_typed_in_many_ways_keeps_its_key(spark):
     assert not [1 for a, b in pairs if a.endswith("Legal") and b.endswith("Legal") and "Annegret" not in a + b and pairs[a, b] == {"legal"}]
 
 
+def test_star_clusters_settle_long_chains(spark):
+    links = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(64)], "a string, b string")
+    assert {r["name"] for r in N.star_clusters(links).collect()} == {f"n{i:02}" for i in range(65)}
+
+
 def test_collision_curve_and_slips():
     b = N.bands_for(0.5, 0.98, 4)
     assert 1 - (1 - 0.5**4) ** b >= 0.98 > 1 - (1 - 0.5**4) ** (b - 1)
