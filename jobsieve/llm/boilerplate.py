@@ -1,33 +1,43 @@
 """Site lines mixed with the main content of pages (problem 6).
 
-A site style tree over the lines of same-host pages. A page's tree has blocks of lines; a line's presentation node is its
-style (link bar, breadcrumb, copyright, cookie notice, button, list of teasers, ...), its content node its normalised
-text. Pages of one host are merged by counting nodes. A node's importance is the SST's 1 - log(n) / log(m) for a node
-found in n of the host's m pages: what a site repeats on its pages carries little, what stands on one page is content.
-Branches whose presentation is that of site furniture and whose importance in the host's tree is low are removed; lines of
-unknown presentation are removed if their content node recurs on the host and stands inside such branches almost always.
+A site style tree over the lines of same-host pages. The distinct pages of a host are merged: every line is a content node of its
+host (the line in normal form) below a presentation node (the form of the line: its length, separators, marks at its ends).
+A content node found on n of a host's m pages has the entropy log n / log m over the pages, in base m, and the importance
+1 minus that. The importance of a branch is composed of the node's own and of the nodes on both sides of it: site furniture
+stands among nodes that recur or have the form of furniture, while a heading of the posting recurs just as much, but its
+branch continues into lines that are found once. Presentation nodes have the importance that their lines have on average,
+first on their own host, then on all hosts, so that lines with ever new content (teasers, breadcrumbs) and small hosts are
+judged by what is known of their form; counts weigh in continuously, there is no least size of a host or a line.
+
+Lists of words in six languages (menu entries, buttons, cookie notices) enter as a prior: a line of a listed form is removed
+on little evidence of the tree, other lines need the tree alone. Without the tree nothing is removed.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from jobsieve.llm.residue import host
-from jobsieve.session import cut_lineage
+from jobsieve.llm.lines import SENT_ROWS, host, key, looked_up, normalised
+from jobsieve.session import write_once
 
-#: Nodes less important than this in the tree of their host are removed.
-IMPORTANCE = 0.75
-#: A host with fewer pages is judged by the tree of all hosts.
-OWN_TREE_PAGES = 100
-#: A line of unknown presentation is furniture from this share of its occurrences inside furniture on, and so many on the host.
-ENCLOSED_SHARE, ENCLOSED_LEAST = 0.8, 8
+#: Evidence of the tree (0 content, 1 furniture) from which on a line is removed if no list has its form; its steepness and
+#: the weight of the lists, in logits: a listed line is removed from THRESHOLD - LISTED / STEEPNESS on.
+THRESHOLD, STEEPNESS, LISTED = 0.45, 14.0, 5.5
+#: Share of the form, against the entropy, in what a line tells its neighbours; share of the form in a presentation node;
+#: share of the sides, against the node itself, in a content node.
+FORM_TOLD, FORM_OWN, SIDES = 0.6, 0.5, 0.5
+#: Pages that the presentation node counts for beside a content node's own, and all hosts beside one host.
+CONTENT_PRIOR, HOST_PRIOR = 2.0, 20.0
+#: What a side without neighbours is taken for.
+NEUTRAL_CONTENT, NEUTRAL_FORM = 0.2, 0.3
 
 _NAV = (
     "home|start|startseite|inicio|accueil|menu|menü|menú|find jobs|jobs|stellen|stellensuche|jobsuche|stellenangebote|empleos|ofertas|offres|offres d'emploi|vacatures|offerte|offerte di lavoro|employers|companies|arbeitgeber|unternehmen|empresas|employeurs|entreprises|"
@@ -150,80 +160,211 @@ def page_styles(lines: list[str]) -> list[str]:
     return styles
 
 
-def normalised(line: str) -> str:
-    return re.sub(r"\d+", "0", " ".join(line.split())).lower()
+SEPARATED = re.compile(r"\s+[·|›»>/•–\-,]\s+|\s{2,}|\t")
 
 
-def scan(df: DataFrame, id_col: str, text_col: str, url_col: str) -> DataFrame:
-    """Rows of furniture lines (kind 0), of unknown lines inside furniture (kind 1) and counts of unknown lines by host (kind 2)."""
-    source = df.select(F.col(id_col).cast("long").alias("id"), host(F.col(url_col)).alias("host"), F.col(text_col).alias("text"))
-    fields = [("kind", pa.int8()), ("id", pa.int64()), ("host", pa.string()), ("line_no", pa.int32()), ("style", pa.string()), ("content", pa.int64()), ("n", pa.int64())]
+def form(line: str) -> int:
+    """The presentation node of a line, from marks and lengths alone, whatever its language."""
+    text = line.strip()
+    if BULLET.match(text):
+        return 0
+    if text.startswith("<"):
+        return 1
+    words = len(text.split())
+    if SENTENCE_END.search(text):
+        return (2 if words <= 3 else 3 if words < 12 else 4) + (3 if text.endswith(":") else 0)
+    separators = min(4, len(SEPARATED.findall(text)))
+    size = 0 if words <= 1 else 1 if words <= 3 else 2 if words <= 6 else 3 if words <= 12 else 4
+    start = 0 if text[0].isalpha() else 1 if text[0].isdigit() else 2
+    return 8 + (separators * 5 + size) * 3 + start
+
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+def _told() -> np.ndarray:
+    """How much each form looks like site furniture before any page is seen."""
+    out = np.zeros(FORMS)
+    out[:8] = (0.03, 0.1, 0.2, 0.3, 0.1, 0.2, 0.3, 0.1)
+    for separators in range(5):
+        for size, plain in enumerate((0.5, 0.45, 0.4, 0.35, 0.1)):
+            for start in range(3):
+                out[8 + (separators * 5 + size) * 3 + start] = 0.85 if separators else plain + (0.15 if start else 0.0)
+    return out
 
-        counts: Counter = Counter()
 
-        def emit(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows)) if rows else [[]] * len(fields)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
+FORMS = 8 + 75
+TOLD = _told()
+STYLES = ("", *FURNITURE)
 
-        def flush() -> pa.RecordBatch:
-            rows = [(2, None, h, None, None, c, n) for (h, c), n in counts.items()]
-            counts.clear()
-            return emit(rows)
 
+def page_nodes(df: DataFrame, id_col: str, text_col: str, url_col: str) -> DataFrame:
+    """(id, host, line_no[], nodes[], forms[], listed[]) of every page that is not blank; the last node is the host itself."""
+    source = df.select(F.col(id_col).cast("long").alias("id"), host(F.col(url_col)).alias("host"), F.col(text_col).alias("text"))
+    longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = {s: i for i, s in enumerate(STYLES)}
+        known: dict[str, tuple[str, int]] = {}
         for batch in batches:
-            rows = []
+            out: list[tuple] = []
             for id_, host_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 text = text.as_py()
                 if not text or text.isspace():
                     continue
                 lines = text.split("\n")
                 styles = page_styles(lines)
-                full = [i for i, s in enumerate(styles) if s]
-                for k, i in enumerate(full):
-                    s = styles[i]
-                    if s in FURNITURE:
-                        rows.append((0, id_, host_, i + 1, s, None, None))
-                    elif s == "label" and len(lines[i]) <= 120:
-                        content = xxhash.xxh3_64_intdigest(normalised(lines[i])) - 2**63
-                        counts[host_, content] += 1
-                        if (k == 0 or styles[full[k - 1]] in FURNITURE) and (k + 1 == len(full) or styles[full[k + 1]] in FURNITURE) and len(full) > 1:
-                            rows.append((1, id_, host_, i + 1, s, content, None))
-            yield emit(rows)
-            if len(counts) > 200_000:
-                yield flush()
-        yield flush()
-
-    return source.mapInArrow(search, "kind byte, id long, host string, line_no int, style string, content long, n long")
-
-
-def find_boilerplate(df: DataFrame, id_col: str = "job_id", text_col: str = "description", url_col: str = "url") -> DataFrame:
+                numbers, nodes, forms, listed = [], [], [], []
+                for i, s in enumerate(styles):
+                    if not s:
+                        continue
+                    line = lines[i]
+                    node = known.get(line)
+                    if node is None:
+                        if len(known) >= 150_000:
+                            known.clear()
+                        node = known[line] = (normalised(line), form(line))
+                    numbers.append(i + 1)
+                    nodes.append(key(host_, node[0]))
+                    forms.append(node[1])
+                    listed.append(rank.get(s, 0))
+                nodes.append(key(host_))
+                out.append((id_, nodes[-1], numbers, nodes, forms, listed))
+            columns = list(zip(*out)) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), ints, longs, ints, ints))], ["id", "host", "line_no", "nodes", "forms", "listed"])
+
+    return source.mapInArrow(run, "id long, host long, line_no array<int>, nodes array<long>, forms array<int>, listed array<int>")
+
+
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """One of each page that is the same line by line on its host: copies of a posting are no lines of the site."""
+    names = ("id", "host", "line_no", "nodes", "forms", "listed")
+    return pages.groupBy(F.xxhash64("nodes").alias("sign")).agg(F.any_value(F.struct(*names)).alias("p")).select("p.*")
+
+
+def node_counts(pages: DataFrame) -> DataFrame:
+    """(key, n): on how many pages each node is found, for nodes found on more than one; hosts are nodes too."""
+    nodes = pages.select(F.explode(F.array_distinct("nodes")).alias("key"))
+    return nodes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+
+
+class Tree:
+    """A batch of pages with counts, as flat arrays over their lines."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        column = lambda name: batch.column(batch.schema.get_field_index(name))
+        self.id, self.host = column("id"), column("host").to_numpy(zero_copy_only=False)
+        offsets = column("line_no").offsets.to_numpy()
+        self.size = np.diff(offsets)
+        self.page = np.repeat(np.arange(len(self.size)), self.size)
+        flat = lambda name: column(name).flatten().to_numpy(zero_copy_only=False)
+        self.line_no, self.form, self.listed = flat("line_no"), flat("forms"), flat("listed")
+        node, n = flat("nodes"), flat("nodes_n")
+        hosts = np.cumsum(self.size + 1) - 1  # the node of the host ends each list
+        lines = np.ones(len(node), dtype=bool)
+        lines[hosts] = False
+        self.node, self.n = node[lines], np.nan_to_num(n[lines], nan=1.0)
+        m = np.maximum(np.nan_to_num(n[hosts], nan=1.0), 2.0)[self.page]
+        self.entropy = np.minimum(1.0, np.log(self.n) / np.log(m)) if len(self.n) else self.n
+        self.told = TOLD[self.form]
+        own = FORM_TOLD * self.told + (1 - FORM_TOLD) * self.entropy
+        first = np.concatenate([[True], self.page[1:] != self.page[:-1]]) if len(self.page) else np.zeros(0, dtype=bool)
+        last = np.concatenate([first[1:], [True]]) if len(self.page) else first
+        self.before = np.where(first, 0.0, np.concatenate([[0.0], own[:-1]])) if len(own) else own
+        self.after = np.where(last, 0.0, np.concatenate([own[1:], [0.0]])) if len(own) else own
+        self.has_before, self.has_after = ~first, ~last
+
+    def presentation(self) -> np.ndarray:
+        """The node of a line's form on its host."""
+        return presentation_key(self.host[self.page], self.form)
+
+
+def presentation_key(host_: np.ndarray, form_: np.ndarray) -> np.ndarray:
+    x = host_.astype(np.int64).view(np.uint64) ^ ((form_.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    return ((x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+
+
+def sides(counted_pages: DataFrame) -> DataFrame:
+    """(kind, key, form, before, befores, after, afters, n): what stands on both sides of content nodes (kind 0, those found more than once), of forms on a host (1) and on all hosts (2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = Tree(batch)
+            parts = []
+            for kind, mask, keys in ((0, t.n > 1, t.node), (1, slice(None), t.presentation()), (2, slice(None), t.form.astype(np.int64))):
+                distinct, first, at = np.unique(keys[mask], return_index=True, return_inverse=True)
+                sums = [np.bincount(at, weights=w[mask].astype(float), minlength=len(distinct)) for w in (t.before, t.has_before, t.after, t.has_after, np.ones(len(t.n)))]
+                parts.append([np.full(len(distinct), kind, dtype=np.int8), distinct, t.form[mask][first].astype(np.int32), *sums])
+            columns = [np.concatenate(c) for c in zip(*parts)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "key", "form", "before", "befores", "after", "afters", "n"])
+
+    emitted = counted_pages.mapInArrow(run, "kind byte, key long, form int, before double, befores double, after double, afters double, n double")
+    return emitted.groupBy("kind", "key").agg(F.min("form").alias("form"), *[F.sum(c).alias(c) for c in ("before", "befores", "after", "afters", "n")])
+
+
+def side_score(neutral: float) -> Column:
+    """The lower of the two sides' means; a side that is nearly always the border of the page says nothing."""
+    a, b = (F.col("before") + neutral) / (F.col("befores") + 1), (F.col("after") + neutral) / (F.col("afters") + 1)
+    no_before, no_after = F.col("befores") < 0.05 * F.col("n"), F.col("afters") < 0.05 * F.col("n")
+    return F.when(no_before & no_after, F.least(a, b)).when(no_before, b).when(no_after, a).otherwise(F.least(a, b))
+
+
+def importance(counted_pages: DataFrame) -> DataFrame:
+    """(key, score, seen): how little important the branches of content nodes and of forms on a host are, and on how many lines that rests."""
+    seen = write_once(sides(counted_pages))
+    # There are FORMS forms at most, so that this is a bounded look at the driver.
+    everywhere = {r.form: (r.score, r.n) for r in seen.where("kind = 2").select("form", side_score(NEUTRAL_FORM).alias("score"), "n").collect()}
+    whole = F.create_map(*[F.lit(x) for form_, (score, _) in sorted(everywhere.items()) for x in (form_, float(score))]) if everywhere else F.create_map().cast("map<int,double>")
+    contents = seen.where("kind = 0").select("key", side_score(NEUTRAL_CONTENT).alias("score"), F.col("n").alias("seen"))
+    forms = seen.where("kind = 1").select("key", ((F.col("n") * side_score(NEUTRAL_FORM) + HOST_PRIOR * whole[F.col("form")]) / (F.col("n") + HOST_PRIOR)).alias("score"), F.col("n").alias("seen"))
+    return contents.unionByName(forms)
+
+
+def judged(counted_pages: DataFrame, score: DataFrame, sent_rows: int) -> DataFrame:
+    """(id, line_no, style) of the lines that are removed."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = Tree(batch)
+            own = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(t.size)]).astype(np.int32)), pa.array(t.presentation()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, own], [*batch.schema.names, "shapes"])
+
+    pages = counted_pages.mapInArrow(keyed, StructType([*counted_pages.schema.fields, StructField("shapes", ArrayType(LongType()))]))
+    found = looked_up(pages, ["nodes", "shapes"], score, ["score", "seen"], sent_rows)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = Tree(batch)
+            flat = lambda name: batch.column(batch.schema.get_field_index(name)).flatten().to_numpy(zero_copy_only=False)
+            lines = np.ones(int((t.size + 1).sum()), dtype=bool)
+            lines[np.cumsum(t.size + 1) - 1] = False
+            evidence = branch_evidence(t, flat("nodes_score")[lines], flat("nodes_seen")[lines], flat("shapes_score"))
+            out = np.nonzero(STEEPNESS * (evidence - THRESHOLD) + LISTED * (t.listed > 0) >= 0)[0]
+            styles = [STYLES[i] or "tree" for i in t.listed[out]]
+            yield pa.RecordBatch.from_arrays([t.id.take(pa.array(t.page[out])), pa.array(t.line_no[out].astype(np.int32)), pa.array(styles, pa.string())], ["id", "line_no", "style"])
+
+    return found.mapInArrow(decide, "id long, line_no int, style string")
+
+
+def branch_evidence(t: Tree, score: np.ndarray, seen: np.ndarray, shape: np.ndarray) -> np.ndarray:
+    """How little important each line's branch is, from 0 to 1."""
+    base = FORM_OWN * t.told + (1 - FORM_OWN) * np.nan_to_num(shape, nan=0.0)
+    known = ~np.isnan(score)
+    score, seen = np.where(known, score, 0.0), np.where(known, seen, 0.0)
+    own = SIDES * score + (1 - SIDES) * t.entropy * np.minimum(1.0, 2 * score)
+    evidence = (seen * own + CONTENT_PRIOR * base) / (seen + CONTENT_PRIOR)
+    return np.where((t.size > 1)[t.page], evidence, 0.0)  # the only line of a page is a tree without branches
+
+
+def find_boilerplate(df: DataFrame, id_col: str = "job_id", text_col: str = "description", url_col: str = "url", sent_rows: int = SENT_ROWS) -> DataFrame:
     """Distinct (id_col, line_no, style) of the non-empty lines that are not part of the main content.
 
-    Lines are split at \\n and counted from 1, empty lines included. Null and blank texts give nothing; records without a
-    host are judged by the tree of all hosts; repeated rows give their lines once; null ids come out as null.
+    Lines are split at \\n and counted from 1, empty lines included. style is the listed form of the line or "tree" for lines
+    that the tree alone removed. Null and blank texts give nothing; records without a host are one site; repeated rows give
+    their lines once; null ids come out as null.
     """
-    scanned = cut_lineage(scan(df, id_col, text_col, url_col))
-    found = scanned.where("kind = 0")
-    pages = df.where(F.length(F.trim(F.coalesce(F.col(text_col), F.lit("")))) > 0).groupBy(host(F.col(url_col)).alias("host")).agg(F.count("*").alias("pages"))
-    nodes = found.groupBy("host", "style", "id").agg(F.lit(1).alias("one")).groupBy("host", "style").agg(F.count("*").alias("n"))
-    everywhere = pages.agg(F.sum("pages").alias("all_pages"))
-    all_nodes = nodes.groupBy("style").agg(F.sum("n").alias("all_n"))
-    own = F.col("pages") >= OWN_TREE_PAGES
-    m, n = F.when(own, F.col("pages")).otherwise(F.col("all_pages")), F.when(own, F.col("n")).otherwise(F.col("all_n"))
-    tree = nodes.join(pages, "host").join(all_nodes, "style").join(F.broadcast(everywhere)).withColumn("importance", F.lit(1.0) - F.log(n.cast("double")) / F.log(F.greatest(m, F.lit(2)).cast("double")))
-    noisy = tree.where(F.col("importance") <= IMPORTANCE).select("host", "style")
-    removed = found.join(noisy, ["host", "style"], "left_semi").select("id", "line_no", "style")
-    enclosed = scanned.where("kind = 1")
-    seen = scanned.where("kind = 2").groupBy("host", "content").agg(F.sum("n").alias("n"))
-    learned = (
-        enclosed.groupBy("host", "content").agg(F.count("*").alias("inside")).join(seen, ["host", "content"])
-        .where((F.col("n") >= ENCLOSED_LEAST) & (F.col("inside") >= ENCLOSED_SHARE * F.col("n"))).select("host", "content")
-    )
-    removed = removed.unionByName(enclosed.join(learned, ["host", "content"], "left_semi").select("id", "line_no", "style"))
-    return removed.select(F.col("id").alias(id_col), "line_no", "style").distinct()
+    pages = write_once(page_nodes(df, id_col, text_col, url_col))
+    merged = write_once(distinct_pages(pages))
+    counts = write_once(node_counts(merged))
+    score = importance(looked_up(merged, ["nodes"], counts, ["n"], sent_rows))
+    return judged(looked_up(pages, ["nodes"], counts, ["n"], sent_rows), score, sent_rows).withColumnRenamed("id", id_col).distinct()
 
 
 def main_text(df: DataFrame, id_col: str = "job_id", text_col: str = "description", url_col: str = "url") -> DataFrame:

@@ -1,26 +1,29 @@
 """Template residue, filler and messages of a failing site (problem 5).
 
-Lines are normalised (lower case, digits folded, tags dropped) and counted by host; lines that recur on a host are its
-boilerplate and are subtracted, so that a notice that a site carries on every page is no evidence against a page that
-also holds a posting. A field whose residual holds evidence - an unfilled placeholder, filler, a message of the site
-or its software, a notice that scripts are required - is a case. Counting is restricted to the lines that hold evidence,
-because no other line's count can change the result; `recurrent_lines` counts all lines of all hosts for a report.
+All lines of all records are normalised (lower case, numbers folded, tags dropped) and counted by host; lines that recur
+on a host are its boilerplate and are subtracted. What is left of a record is its residual: a record is a case if its
+residual holds evidence - an unfilled placeholder, filler, a message of the site or its software, a notice that scripts are
+required. A notice that a site carries on every page is thus no evidence against a page that also holds a posting. Of a
+record whose lines all recur (a site's error page, a posting that was copied again and again) the rarest lines are left.
 """
 
 from __future__ import annotations
 
 import re
+import re._parser as parser
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobsieve.session import cut_lineage
+from jobsieve.llm.lines import TAG, counted, host, key, normalised
+from jobsieve.session import write_once
 
-#: A line is boilerplate of its host from this share of the host's records on, on hosts of at least so many records.
-RECURRENT_SHARE, RECURRENT_RECORDS = 0.05, 40
+#: A line found on n of a host's m records is boilerplate from n / (m + PRIOR_RECORDS) >= RECURRENT_SHARE on.
+RECURRENT_SHARE, PRIOR_RECORDS = 0.05, 20
 
 # Words that name a slot of a posting, in the six languages; a bracketed word of these is a slot left unfilled.
 SLOTS = (
@@ -68,19 +71,8 @@ MESSAGE = re.compile(
 MISSING = re.compile(rf"(?i)^\W*(?:[\w'’-]+\s+){{0,5}}{_PAGE}\b(?:\s+[\w'’-]+){{0,5}}?\s+{_MISS}\b")
 SCRIPTS = re.compile(r"(?i)^.{0,40}\b(?:activer|activez|active[nr]?|inschakelen|attiva(?:re)?|habilit\w+)\b (?:les |los |il |el )?(?:java)?scripts?\b")
 NOSCRIPT = re.compile(r"(?i)<noscript\b")
-#: What the patterns above need at least; a line of a longer text is only looked at for the groups whose strings it has.
 SLOT_GROUP, FILLER_GROUP, MESSAGE_GROUP = 1, 2, 4
-TRIGGERS = {
-    SLOT_GROUP: "{|[|<|#|%|@@|__|«|undefined|nan|null|none|nil|todo|fixme|tbd".split("|") + ["|*"],
-    FILLER_GROUP: "xxx|asdf|jklö|qwert|bla bla|test test|text|muster|dummy|foo foo|xx xx|lorem|ipsum|platzhalter platz|beispiel|ignor|to be replaced|goes here|comes here|untitled|unbenannt|sans titre|sin título|zonder titel|senza titolo|testo|texto|fermen|lacus|magnis|consequa|vitae|auctor|rutrum|morbi|nulla|urna|dolor|consect|sitam|sedem|velor|acum|felis".split("|"),
-    MESSAGE_GROUP: (
-        "error|fehler|erreur|errore|fout|código |codice |http|status|not found|be found|'t be found|nicht gefunden|introuvable|'t exist|not exist|no longer|existiert nicht|verfügbar|n'existe|non trouvée|encontrad|no disponible|no existe|niet gevonden|bestaat niet|niet beschikbaar|non trovat|disponibile|non esiste| gone|denied|verweigert|refusé|"
-        "denegado|geweigerd|negato|blocked|blockiert|abgelehnt|gesperrt|refused|rejected|permitted|allowed|authori|unavailable|server|serveur|servidor|gateway|connection |too many requests|slow down|rate limit|session|sitzung|sesión|sessie|erneut an|wieder an|again|robot|kein mensch|ein mensch|human|captcha|checking|moment|momento|attention required|please wait|attimo|"
-        "wartung|maintenance|mantenimiento|onderhoud|manutenzione|construction|kürze wieder|be back|script|exception|traceback|uncaught|stack trace|fatal error|segmentation|laden|loading|chargement|cargar|caricamento|to load|not load|went wrong|schief|oops|ups|hoppla|une erreur|aufgetreten|occurred|er is iets|forbidden|bad request|redirecting|reload|refresh|later|réessayer|nuevo|riprova|404|410|40|50"
-    ).split("|"),
-}
 SENTENCE = re.compile(r"(?<=[.!?…])\s+")
-TAG = re.compile(r"</?(?:p|li|ul|ol|br|div|b|i|em|strong|h\d)\b[^<>]*>", re.I)
 
 
 def _slot(content: str, angle: bool) -> bool:
@@ -99,7 +91,8 @@ def placeholder(line: str) -> bool:
 
 def pseudo_latin(sentence: str) -> bool:
     words = re.findall(r"[^\W\d_]+", sentence)
-    return len(words) >= 4 and sum(bool(LATIN.match(w)) for w in words) >= 0.6 * len(words)
+    known = [w for w in words if LATIN.match(w)] if len(words) >= 4 else []
+    return len(known) >= max(1, 0.6 * len(words)) and any(len(w) >= 5 for w in known)
 
 
 def evidence(line: str, groups: int = SLOT_GROUP | FILLER_GROUP | MESSAGE_GROUP) -> str:
@@ -124,14 +117,106 @@ def evidence(line: str, groups: int = SLOT_GROUP | FILLER_GROUP | MESSAGE_GROUP)
 _remembered = lru_cache(maxsize=150_000)(evidence)
 
 
+def needed(pattern: str) -> set[str]:
+    """Strings in lower case of which any match of the pattern holds at least one, as long as the pattern allows."""
+    return _needed(list(parser.parse(pattern)))
+
+
+def _needed(items: list) -> set[str] | None:
+    """The best set of a sequence of parsed elements: the one whose shortest string is longest."""
+    best: set[str] | None = None
+    run = {""}
+
+    def offer(found: set[str] | None) -> None:
+        nonlocal best
+        if found and "" not in found and (best is None or (min(map(len, found)), -len(found)) > (min(map(len, best)), -len(best))):
+            best = found
+
+    for op, value in items:
+        own: set[str] | None = None
+        if op is parser.LITERAL:
+            own = {chr(value).lower()}
+        elif op is parser.IN and all(k is parser.LITERAL for k, _ in value) and len(value) <= 4:
+            own = {chr(v).lower() for _, v in value}
+        elif op is parser.SUBPATTERN:
+            whole = _exact(list(value[3]))
+            own, inner = whole, _needed(list(value[3]))
+            offer(inner)
+        elif op is parser.BRANCH:
+            whole = _exact([(op, value)])
+            own = whole
+            parts = [_needed(list(x)) for x in value[1]]
+            if all(parts):
+                offer(set().union(*parts))
+        elif op in (parser.MAX_REPEAT, parser.MIN_REPEAT):
+            if value[0] >= 1:
+                offer(_needed(list(value[2])))
+                own = _exact(list(value[2]) * value[0]) if value[0] <= 4 else None
+                if own is not None and value[1] != value[0]:
+                    # More of the same may follow, so that the run ends here.
+                    if len(run) * len(own) <= 64:
+                        offer({a + b for a in run for b in own})
+                    run, own = own, {""}
+        elif op is parser.AT or op in (parser.ASSERT, parser.ASSERT_NOT):
+            own = {""}
+        if own is not None and len(run) * len(own) <= 64:
+            run = {a + b for a in run for b in own}
+        else:
+            offer(run)
+            run = own if own is not None else {""}
+    offer(run)
+    return best
+
+
+def _exact(items: list) -> set[str] | None:
+    """All strings that a short pattern matches, None if they are not a few fixed ones."""
+    run = {""}
+    for op, value in items:
+        if op is parser.LITERAL:
+            own = {chr(value).lower()}
+        elif op is parser.IN and all(k is parser.LITERAL for k, _ in value) and len(value) <= 4:
+            own = {chr(v).lower() for _, v in value}
+        elif op is parser.SUBPATTERN:
+            own = _exact(list(value[3]))
+        elif op is parser.BRANCH:
+            parts = [_exact(list(x)) for x in value[1]]
+            own = None if any(p is None for p in parts) else set().union(*parts)
+        elif op is parser.MAX_REPEAT and value[:2] == (0, 1):
+            own = _exact(list(value[2]))
+            own = None if own is None else own | {""}
+        elif op is parser.AT:
+            own = {""}
+        else:
+            own = None
+        if own is None or len(run) * len(own) > 64:
+            return None
+        run = {a + b for a in run for b in own}
+    return run
+
+
+def triggers() -> dict[int, set[str]]:
+    """For each group of patterns the strings of which a line with evidence holds at least one, derived from the patterns."""
+    out: dict[int, set[str]] = {}
+    for group, patterns in ((SLOT_GROUP, (DOUBLE, SINGLE, UNSET)), (FILLER_GROUP, (FILLER,)), (MESSAGE_GROUP, (MESSAGE, MISSING, SCRIPTS, NOSCRIPT))):
+        for p in patterns:
+            found = needed(p.pattern)
+            if not found:
+                raise ValueError(f"nothing that all matches of {p.pattern[:60]} hold")
+            out.setdefault(group, set()).update(found)
+    # A sentence is pseudo-Latin only with one of its longer words; a stem stands for all words that go on from it.
+    words = LATIN.pattern[LATIN.pattern.index("(", 4) + 1 : -2].split("|")
+    out[FILLER_GROUP] |= {x for w in words for x in needed(w) if len(x) >= 5 or w.endswith("*")}
+    return out
+
+
 @lru_cache(maxsize=1)
 def _automaton():
     try:
         import ahocorasick
     except ImportError:
-        return None
+        return None  # every line is then looked at, with the same result
     automaton = ahocorasick.Automaton()
-    for group, words in TRIGGERS.items():
+    for group, words in triggers().items():
         for word in words:
             automaton.add_word(word, group | automaton.get(word, 0))
     automaton.make_automaton()
@@ -145,7 +230,7 @@ def evidence_lines(text: str | None) -> list[tuple[int, str, str]]:
     automaton = _automaton()
     lines = text.split("\n")
     lower = text.lower()
-    if automaton is None or len(text) < 60 or len(lower) != len(text):
+    if automaton is None or len(lower) != len(text):
         return [(i + 1, line, kind) for i, line in enumerate(lines) if (kind := _remembered(line))]
     wanted: dict[int, int] = {}
     at, end = 0, len(lines[0]) + 1
@@ -157,57 +242,100 @@ def evidence_lines(text: str | None) -> list[tuple[int, str, str]]:
     return [(i + 1, lines[i], kind) for i, groups in wanted.items() if (kind := _remembered(lines[i], groups))]
 
 
-def normalised(line: str) -> str:
-    return re.sub(r"\d[\da-f]*", "0", re.sub(r"\s+", " ", TAG.sub(" ", line)).strip().lower())
-
-
-def host(url: Column) -> Column:
-    """The host of a URL in lower case without www; empty for null or odd values."""
-    return F.regexp_replace(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#:\s]+)", 1)), r"^www\.", "")
-
-
 def find_evidence(df: DataFrame, id_col: str, fields: list[str], url_col: str) -> DataFrame:
-    """(id, host, field_name, line_no, line, kind, whole): the lines that hold evidence; whole if no other line stands beside them."""
+    """Fields with evidence (kind 0: id, field, host, evidence[], lines[]: keys of all their lines) and counts of all lines of all fields by host (kind 1: line, n).
+
+    evidence[i] is the kind of evidence in the i-th line that is not blank, empty for none. Hosts are counted as lines too.
+    """
     source = df.select(F.col(id_col).cast("long").alias("id"), host(F.col(url_col)).alias("host"), *[F.col(f).alias(f"f{k}") for k, f in enumerate(fields)])
+    kinds = [("kind", pa.int8()), ("id", pa.int64()), ("field_name", pa.string()), ("host", pa.int64()), ("evidence", pa.list_(pa.string())), ("lines", pa.list_(pa.int64())), ("line", pa.int64()), ("n", pa.int64())]
+
+    def emit(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) if rows else [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds)], [n for n, _ in kinds])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str] = {}
         for batch in batches:
             out: list[tuple] = []
+            keys: list[int] = []
             ids, hosts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for k, name in enumerate(fields):
-                for i, text in enumerate(batch.column(2 + k)):
-                    text = text.as_py()
-                    found = evidence_lines(text)
+            columns = [batch.column(2 + k).to_pylist() for k in range(len(fields))]
+            for i, host_ in enumerate(hosts):
+                of_host = key(host_)
+                own: set[int] = {of_host}
+                for k, name in enumerate(fields):
+                    text = columns[k][i]
+                    if not text or text.isspace():
+                        continue
+                    found = {no: kind for no, _, kind in evidence_lines(text)}
+                    lines, marks = [], []
+                    for no, line in enumerate(text.split("\n"), 1):
+                        form = known.get(line)
+                        if form is None:
+                            if len(known) >= 150_000:
+                                known.clear()
+                            form = known[line] = normalised(line)
+                        if form:
+                            lines.append(key(host_, f"{k} {form}"))
+                            marks.append(found.get(no, ""))
+                    own.update(lines)
                     if found:
-                        whole = len(found) >= sum(bool(x.strip()) for x in text.split("\n"))
-                        out += [(ids[i], hosts[i], name, no, normalised(line), kind, whole) for no, line, kind in found]
-            columns = list(zip(*out)) if out else [[]] * 7
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["id", "host", "field_name", "line_no", "line", "kind", "whole"])
+                        out.append((0, ids[i], name, of_host, marks, lines, None, None))
+                keys.extend(own)
+            yield emit(out)
+            distinct, n = counted(keys)
+            empty = pa.nulls(len(distinct))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(distinct), dtype=np.int8)), *[empty.cast(t) for _, t in kinds[1:6]], pa.array(distinct), pa.array(n.astype(np.int64))], [n_ for n_, _ in kinds])
 
-    return source.mapInArrow(search, "id long, host string, field_name string, line_no int, line string, kind string, whole boolean")
+    return source.mapInArrow(search, "kind byte, id long, field_name string, host long, evidence array<string>, lines array<long>, line long, n long")
 
 
-def find_residue(df: DataFrame, id_col: str = "job_id", fields: list[str] | None = None, url_col: str = "url") -> DataFrame:
+def find_residue(df: DataFrame, id_col: str = "job_id", fields: list[str] | None = None, url_col: str = "url", subtract: bool = True) -> DataFrame:
     """Distinct (id_col, field_name, kind) of the fields that hold template residue, filler or messages of the site.
 
-    Null, empty and blank fields are no cases; a line that recurs on its host beside other lines is boilerplate and no
-    evidence; very long texts are read whole; repeated rows give one row; null ids come out as null.
+    Null, empty and blank fields are no cases; a line that recurs on its host is boilerplate and no evidence, unless all
+    lines of the field do and none is rarer; very long texts are read whole; repeated rows give one row; null ids come out as null. Without
+    subtract every line with evidence counts.
     """
     fields = fields or ["title", "description"]
-    found = cut_lineage(find_evidence(df, id_col, fields, url_col))
-    records = df.groupBy(host(F.col(url_col)).alias("host")).agg(F.count("*").alias("records"))
-    recurrent = (
-        found.where("not whole and host <> ''").groupBy("host", "line").agg(F.count("*").alias("n")).join(records, "host")
-        .where((F.col("records") >= RECURRENT_RECORDS) & (F.col("n") >= RECURRENT_SHARE * F.col("records"))).select("host", "line", F.lit(False).alias("whole"))
-    )
-    kept = found.join(recurrent, ["host", "line", "whole"], "left_anti")
-    return kept.select(F.col("id").alias(id_col), "field_name", "kind").distinct()
+    scanned = write_once(find_evidence(df, id_col, fields, url_col))
+    found = scanned.where("kind = 0").select("id", "field_name", "host", "evidence", "lines").withColumn("sign", F.xxhash64("evidence", "lines"))
+    if not subtract:
+        return found.select(F.col("id").alias(id_col), "field_name", F.explode(F.filter("evidence", lambda e: e != "")).alias("kind")).distinct()
+    counts = scanned.where("kind = 1").select("line", "n").groupBy("line").agg(F.sum("n").alias("n"))
+    cells = found.select("id", "field_name", "sign", "host", F.explode(F.arrays_zip("evidence", "lines")).alias("x")).select("id", "field_name", "sign", "host", F.col("x.evidence").alias("evidence"), F.col("x.lines").alias("line"))
+    # Only lines and hosts of the fields with evidence are looked up; the counts are over all rows.
+    wanted = write_once(counts.join(cells.select("line").unionByName(found.select(F.col("host").alias("line"))).distinct(), "line", "left_semi"))
+    records = wanted.select(F.col("line").alias("host"), F.col("n").alias("records"))
+    judged = cells.join(wanted, "line").join(records, "host").withColumn("left", F.col("n") < RECURRENT_SHARE * (F.col("records") + PRIOR_RECORDS))
+    whole = judged.groupBy("id", "field_name", "sign").agg(F.max("left").alias("any_left"), F.min("n").alias("rarest"), F.collect_set(F.when(F.col("evidence") != "", F.struct("evidence", "left", "n"))).alias("marks"))
+    stands = whole.select("id", "field_name", F.explode(F.filter("marks", lambda m: m["left"] | (~F.col("any_left") & (m["n"] == F.col("rarest"))))).alias("m"))
+    return stands.select(F.col("id").alias(id_col), "field_name", F.col("m.evidence").alias("kind")).distinct()
 
 
 def recurrent_lines(df: DataFrame, url_col: str = "url", text_col: str = "description", share: float = RECURRENT_SHARE) -> DataFrame:
-    """(host, line, n, records): every normalised line that stands in at least this share of its host's records."""
-    text = df.select(host(F.col(url_col)).alias("host"), F.explode(F.array_distinct(F.transform(F.split(text_col, "\n"), lambda x: F.regexp_replace(F.trim(F.lower(F.regexp_replace(x, "<[^<>]*>", " "))), r"\d[\da-f]*", "0")))).alias("line"))
-    counts = text.where("line <> ''").groupBy("host", "line").agg(F.count("*").alias("n"))
+    """(host, line, n, records): every normalised line that is boilerplate of its host; keys are counted, texts are fetched for those alone."""
+    source = df.select(host(F.col(url_col)).alias("host"), F.col(text_col).alias("text"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys: list[int] = []
+            for host_, text in zip(*(c.to_pylist() for c in batch.columns)):
+                keys.extend({key(host_), *(key(host_, n) for x in (text or "").split("\n") if (n := normalised(x)))})
+            distinct, n = counted(keys)
+            yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(n.astype(np.int64))], ["line", "n"])
+
+    counts = write_once(source.mapInArrow(search, "line long, n long").groupBy("line").agg(F.sum("n").alias("n")).where("n > 1"))
     records = df.groupBy(host(F.col(url_col)).alias("host")).agg(F.count("*").alias("records"))
-    return counts.join(records, "host").where((F.col("n") >= share * F.col("records")) & (F.col("records") >= RECURRENT_RECORDS))
+    least = records.agg(F.min("records").alias("r")).select((share * (F.col("r") + PRIOR_RECORDS)).alias("least"))
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = {(key(h, n), h, n) for h, text in zip(*(c.to_pylist() for c in batch.columns)) for x in (text or "").split("\n") if (n := normalised(x))}
+            columns = list(zip(*out)) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()))], ["key", "host", "text"])
+
+    kept = counts.join(F.broadcast(least)).where("n >= least").select("line", "n")
+    texts = source.mapInArrow(named, "key long, host string, text string").join(kept, F.col("key") == F.col("line"), "left_semi").distinct()
+    return texts.join(kept, F.col("key") == F.col("line")).join(records, "host").where(F.col("n") >= share * (F.col("records") + PRIOR_RECORDS)).select("host", F.col("text").alias("line"), "n", "records")

@@ -83,6 +83,71 @@ def test_boilerplate(spark):
     assert find_boilerplate(df.where("false")).count() == 0
 
 
+def _site(n: int) -> list[tuple]:
+    """Pages of a site in a language that no list has: the site's lines stay, the posting's change."""
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice(["ka", "lu", "mi", "to", "ve", "sa", "ri"]) for _ in range(3))
+    rows = []
+    for i in range(n):
+        body = [" ".join(word() for _ in range(14)) + "." for _ in range(3)]
+        items = [f"* {word()} {word()}" for _ in range(3)]
+        top = ["Etusivu | Avoimet paikat | Yritykset | Kirjaudu", "Hyväksy kaikki"] if i % 5 else ["Hyväksy kaikki"]
+        end = ["Tulosta", "Tallenna paikka"] if i % 3 else ["Tallenna paikka"]
+        rows.append((i, "\n".join([*top, body[0], "Tehtävät", *items, "Tarjoamme", body[1], body[2], *end, "© 2024 Työpolku - kaikki oikeudet pidätetään"]), "https://tyopolku.example/1"))
+    return rows
+
+
+def test_boilerplate_of_a_site_without_lists_and_without_the_tree(spark, monkeypatch):
+    from jobsieve.llm import boilerplate
+
+    rows = _site(200)
+    df = spark.createDataFrame(rows, "job_id long, description string, url string")
+    site = {"Etusivu | Avoimet paikat | Yritykset | Kirjaudu", "Hyväksy kaikki", "Tulosta", "Tallenna paikka", "© 2024 Työpolku - kaikki oikeudet pidätetään"}
+
+    def removed(frame, **settings):
+        lines = {r[0]: r[1].split("\n") for r in rows}
+        return {(r.job_id, lines[r.job_id][r.line_no - 1]) for r in find_boilerplate(frame, **settings).collect()}
+
+    got = removed(df)
+    wanted = {(i, x) for i, text, _ in rows for x in text.split("\n") if x in site}
+    assert {x for _, x in got} <= site  # neither headings, which recur as often, nor the posting
+    assert len(got & wanted) >= 0.6 * len(wanted)  # the rest always stands beside the posting, as its own closing line would
+    assert {"Etusivu | Avoimet paikat | Yritykset | Kirjaudu", "Tallenna paikka", "© 2024 Työpolku - kaikki oikeudet pidätetään"} <= {x for _, x in got}
+    # Beyond the size that is sent to the workers, tables are joined, with the same result.
+    assert removed(df, sent_rows=0) == got
+    # A posting copied until it holds a third of the site's pages stays whole.
+    copies = spark.createDataFrame([*rows, *[(1000 + i, rows[7][1], rows[7][2]) for i in range(100)]], "job_id long, description string, url string")
+    assert {x.line_no for x in find_boilerplate(copies).where("job_id = 1005").collect()} == {x.line_no for x in find_boilerplate(df).where("job_id = 7").collect()}
+    # Without the evidence of the tree nothing is removed, listed or not.
+    import numpy as np
+
+    monkeypatch.setattr(boilerplate, "branch_evidence", lambda t, *_: np.zeros(len(t.n)))
+    assert removed(df) == set()
+
+
+def test_residue_triggers_cover_the_patterns():
+    from jobsieve.llm import residue
+
+    assert residue.needed("(?i)ab(?:cd|e)f?|xyz") == {"abcd", "abe", "xyz"} and residue.needed(r"x{3,}\b") == {"xxx"} and residue.needed(r"\d+ foo\w*") == {" foo"}
+    lines = ["enim minim veniam quis nostrud ullamco nisi", "Test, test, test", "bla-bla", "Bitte versuchen Sie es später", "Turn it on in your browser", "Code 429", "Beschreibung kommt hier", "Excepteur sint occaecat cupidatat non proident, sunt in culpa", "Vous devez activer les scripts"]
+    for line in lines:
+        for text in (line, line + "\n" + WHOLE_TEXT):  # short and long
+            assert [no for no, _, _ in evidence_lines(text)] == [1], text
+
+
+def test_residue_without_the_subtraction(spark):
+    notice = "Please enable JavaScript to view this page."
+    rows = [(i, f"{notice}\nWe look after {i} pumps in {i + 1} halls of the plant number {chr(97 + i % 26)}{chr(97 + i // 26)}.", "https://a.example/1") for i in range(60)]
+    # An error page between the lines that the site writes on every page: the error is the rarest of them.
+    rows += [(100 + i, "Home | Jobs\nWe plan rooms of kind " + chr(97 + i) + ".\nTerms", "https://b.example/1") for i in range(20)] + [(200 + i, "Home | Jobs\n404 Not Found\nTerms", "https://b.example/2") for i in range(5)]
+    df = spark.createDataFrame(rows, "job_id long, description string, url string")
+    ids = lambda **k: {r.job_id for r in find_residue(df, fields=["description"], **k).collect()}
+    assert ids() == set(range(200, 205))
+    assert ids(subtract=False) == set(range(60)) | set(range(200, 205))
+
+
 def test_canonical(spark):
     places = spark.createDataFrame([(1, "Großdornbach", None), (2, "Neustett an der Ohle", None), (3, "Neustett an der Wipfe", None), (4, "Bad Thalmünde", "Thal Spa"), (5, "Château-Morvelle", None)], "place_id int, place_name string, alt_name string")
     types = spark.createDataFrame([(1, "Full-time", "Vollzeit|temps plein"), (2, "Part-time", "Teilzeit"), (3, "Internship", "Praktikum|stage")], "type_id int, type_name string, alt_names string")
