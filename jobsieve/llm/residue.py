@@ -71,7 +71,9 @@ MESSAGE = re.compile(
 MISSING = re.compile(rf"(?i)^\W*(?:[\w'’-]+\s+){{0,5}}{_PAGE}\b(?:\s+[\w'’-]+){{0,5}}?\s+{_MISS}\b")
 SCRIPTS = re.compile(r"(?i)^.{0,40}\b(?:activer|activez|active[nr]?|inschakelen|attiva(?:re)?|habilit\w+)\b (?:les |los |il |el )?(?:java)?scripts?\b")
 NOSCRIPT = re.compile(r"(?i)<noscript\b")
-SLOT_GROUP, FILLER_GROUP, MESSAGE_GROUP = 1, 2, 4
+#: One bit for each pattern, so that a line is only tested for those whose strings it has.
+DOUBLE_BIT, SINGLE_BIT, UNSET_BIT, FILLER_BIT, LATIN_BIT, MESSAGE_BIT, MISSING_BIT, SCRIPTS_BIT, NOSCRIPT_BIT = (1 << i for i in range(9))
+ALL_BITS = (1 << 9) - 1
 SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 
 
@@ -83,10 +85,10 @@ def _slot(content: str, angle: bool) -> bool:
     return "_" in content or bool(re.search(r"[^\W\d]\.[^\W\d]", content)) or any(w in FILLS for w in words) or any(w in SLOTS for w in words)
 
 
-def placeholder(line: str) -> bool:
-    if DOUBLE.search(line):
+def placeholder(line: str, bits: int = ALL_BITS) -> bool:
+    if bits & DOUBLE_BIT and DOUBLE.search(line):
         return True
-    return any(_slot(next(filter(None, m.groups())), m[0][0] == "<") for m in SINGLE.finditer(line))
+    return bool(bits & SINGLE_BIT) and any(_slot(next(filter(None, m.groups())), m[0][0] == "<") for m in SINGLE.finditer(line))
 
 
 def pseudo_latin(sentence: str) -> bool:
@@ -95,22 +97,21 @@ def pseudo_latin(sentence: str) -> bool:
     return len(known) >= max(1, 0.6 * len(words)) and any(len(w) >= 5 for w in known)
 
 
-def evidence(line: str, groups: int = SLOT_GROUP | FILLER_GROUP | MESSAGE_GROUP) -> str:
-    """The kind of evidence in a line: placeholder, filler, script, error, or '' for none."""
-    if groups & MESSAGE_GROUP and NOSCRIPT.search(line):
+def evidence(line: str, bits: int = ALL_BITS) -> str:
+    """The kind of evidence in a line: placeholder, filler, script, error, or '' for none; bits: the patterns that can match."""
+    if bits & NOSCRIPT_BIT and NOSCRIPT.search(line):
         return "script"
-    if groups & SLOT_GROUP and (placeholder(line) or UNSET.search(line)):
+    if bits & (DOUBLE_BIT | SINGLE_BIT) and placeholder(line, bits) or bits & UNSET_BIT and UNSET.search(line):
         return "placeholder"
-    if not groups & (FILLER_GROUP | MESSAGE_GROUP):
+    if not bits >= FILLER_BIT:
         return ""
     for sentence in SENTENCE.split(TAG.sub(" ", line).strip()):
-        if groups & FILLER_GROUP and (FILLER.search(sentence) or pseudo_latin(sentence)):
+        if bits & FILLER_BIT and FILLER.search(sentence) or bits & LATIN_BIT and pseudo_latin(sentence):
             return "filler"
-        if groups & MESSAGE_GROUP:
-            if MESSAGE.search(sentence) or MISSING.search(sentence):
-                return "script" if "script" in sentence.lower() else "error"
-            if SCRIPTS.search(sentence):
-                return "script"
+        if bits & MESSAGE_BIT and MESSAGE.search(sentence) or bits & MISSING_BIT and MISSING.search(sentence):
+            return "script" if "script" in sentence.lower() else "error"
+        if bits & SCRIPTS_BIT and SCRIPTS.search(sentence):
+            return "script"
     return ""
 
 
@@ -195,17 +196,14 @@ def _exact(items: list) -> set[str] | None:
 
 
 def triggers() -> dict[int, set[str]]:
-    """For each group of patterns the strings of which a line with evidence holds at least one, derived from the patterns."""
-    out: dict[int, set[str]] = {}
-    for group, patterns in ((SLOT_GROUP, (DOUBLE, SINGLE, UNSET)), (FILLER_GROUP, (FILLER,)), (MESSAGE_GROUP, (MESSAGE, MISSING, SCRIPTS, NOSCRIPT))):
-        for p in patterns:
-            found = needed(p.pattern)
-            if not found:
-                raise ValueError(f"nothing that all matches of {p.pattern[:60]} hold")
-            out.setdefault(group, set()).update(found)
+    """For each pattern (its bit) the strings of which a line with its evidence holds at least one, derived from the pattern."""
+    patterns = {DOUBLE_BIT: DOUBLE, SINGLE_BIT: SINGLE, UNSET_BIT: UNSET, FILLER_BIT: FILLER, MESSAGE_BIT: MESSAGE, MISSING_BIT: MISSING, SCRIPTS_BIT: SCRIPTS, NOSCRIPT_BIT: NOSCRIPT}
+    out = {bit: needed(p.pattern) for bit, p in patterns.items()}
     # A sentence is pseudo-Latin only with one of its longer words; a stem stands for all words that go on from it.
     words = LATIN.pattern[LATIN.pattern.index("(", 4) + 1 : -2].split("|")
-    out[FILLER_GROUP] |= {x for w in words for x in needed(w) if len(x) >= 5 or w.endswith("*")}
+    out[LATIN_BIT] = {x for w in words for x in needed(w) if len(x) >= 5 or w.endswith("*")}
+    if not all(out.values()):
+        raise ValueError("a pattern has no string that all its matches hold")
     return out
 
 
