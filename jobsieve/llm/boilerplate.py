@@ -84,7 +84,18 @@ TEASERS = re.compile(
 AGO = re.compile(r"(?i)(?:\bvor \d+ (?:tag|stunde|woche|monat|minute)\w*|\b\d+ (?:day|hour|week|month|minute)s? ago|\bil y a \d+ (?:jour|heure|semaine|mois|minute)s?|\bhace \d+ (?:día|hora|semana|mes|minuto)\w*|\b\d+ (?:giorn|or|settiman|mes|minut)\w+ fa|\b\d+ (?:dag|uur|uren|week|weken|maand|minu)\w* geleden)$")
 TEASER = re.compile(r"^[^.!?…]{3,110}?(?:\([^()]{1,20}\))?\s+[,–|·\-]\s+[^\s.!?…][^.!?…]{1,70}$")
 BULLET = re.compile(r"^(?:[-*•–·▪◦‣]|\d{1,2}[.)])\s")
-SENTENCE_END = re.compile(r"[.!?…:]\W*$")
+
+
+def ends_sentence(text: str) -> bool:
+    """Whether one of . ! ? … : stands behind the last letter or digit."""
+    for c in reversed(text):
+        if c in ".!?…:":
+            return True
+        if c.isalnum() or c == "_":
+            return False
+    return False
+
+
 
 FURNITURE = ("copyright", "crumb", "bar", "nav", "legal", "cookie", "button", "counter", "mailing", "teasers", "teaser")
 
@@ -116,7 +127,7 @@ def style(line: str) -> str:
         return "mailing"
     if AGO.search(text) and SEPARATOR.search(text):
         return "teaser"
-    if not SENTENCE_END.search(text):
+    if not ends_sentence(text):
         parts = [p.strip().lower() for p in SEPARATOR.split(text) if p.strip()]
         if len(parts) >= 2 and all(len(p.split()) <= 6 for p in parts):
             known = sum(p in NAV_ITEM or p in LEGAL_ITEM or bool(ABOUT_ITEM.match(p)) for p in parts)
@@ -171,7 +182,7 @@ def form(line: str) -> int:
     if text.startswith("<"):
         return 1
     words = len(text.split())
-    if SENTENCE_END.search(text):
+    if ends_sentence(text):
         return (2 if words <= 3 else 3 if words < 12 else 4) + (3 if text.endswith(":") else 0)
     separators = min(4, len(SEPARATED.findall(text)))
     size = 0 if words <= 1 else 1 if words <= 3 else 2 if words <= 6 else 3 if words <= 12 else 4
