@@ -1,8 +1,8 @@
 """Texts cut off by field limits or in mid-transfer (problem 1).
 
-One pass reads every text with a stack automaton over its end structure: markup elements, brackets and quotes opened
-and not closed, a tag, entity, escape or multibyte sequence broken off, a mark that a cut left behind ("...", "[read
-more]"). The same pass counts which word triples end a unit (a sentence with its mark, or a line with another after
+One pass reads every text with a stack automaton: markup elements opened in the whole text, brackets and quotation marks of
+its last line by their kinds, a tag, entity, escape or multibyte sequence broken off, a mark that a cut left behind ("...",
+"[read more]"). The same pass counts which word triples end a unit (a sentence with its mark, or a line with another after
 it) anywhere in the corpus. Two baselines then decide the texts whose end is neither whole nor visibly broken:
 
 * the source's field limit: lengths (in characters or bytes, without the mark) at which the source's unfinished texts
@@ -23,21 +23,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobsieve.llm.boilerplate import FURNITURE, page_styles
+from jobsieve.llm.boilerplate import FURNITURE, page_styles, style
 from jobsieve.session import cut_lineage
 
 WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
-BRACKET = re.compile(r"[(\[{„“«)\]}»”]")
+#: Brackets and quotation marks; each closing mark with those it can close.
+MARK = re.compile(r"[(\[{„“«‹)\]}»›”\"]")
+CLOSES = {")": "(", "]": "[", "}": "{", "»": "«", "›": "‹", "”": "“„", "“": "„"}
+OPENS = "([{„“«‹"
 DIGITS = re.compile(r"\d+")
 UNIT = re.compile(r"(?<=[.!?…:])\s+")
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)\b[^<>]*?(/?)>")
 VOID = {"br", "hr", "img", "input", "meta", "link", "col", "wbr", "source"}
 #: Elements whose end tag may be left out.
 OPTIONAL = {"li", "p", "td", "tr", "th", "dt", "dd", "option", "tbody", "thead"}
-BROKEN = re.compile(r"(?:&(?:[a-zA-Z]{1,8}|#\d{0,6}|#x[\da-fA-F]{0,5})?|<(?:/?[a-zA-Z][^<>\n]{0,80}|/|!-{0,2}[^<>]{0,40})?|\\(?:u[\da-fA-F]{0,3}|x[\da-fA-F]?)?|%[\da-fA-F]?|�+)$")
-TAIL = 200
+#: A character reference, an escape (also the first half of a surrogate pair), a percent code or a multibyte sequence that is
+#: broken off; bytes read in the wrong code page show as the beginnings Ã, Â, â€, â‚ and ðŸ without their last character.
+BROKEN = re.compile(r"(?:&(?:[a-zA-Z]{1,8}|#\d{0,6}|#x[\da-fA-F]{0,5})?|\\(?:u[\da-fA-F]{0,3}|ud[89abAB][\da-fA-F]{2}|x[\da-fA-F]?)?|%[\da-fA-F]?|�+|[ÃÂ]|â[€‚]|ðŸ.?)$")
+#: A tag or comment that is begun, however long it is by then.
+BROKEN_TAG = re.compile(r"<(?:/?[a-zA-Z][^\s<>]*(?:\s|$)|/?$|!)")
 CLOSING_TAG = re.compile(r"</?[a-zA-Z][^<>]*>$")
-BROKEN_SIGN = re.compile(r"[&<\\%�]")
 MORE = re.compile(r"(?i)[\[(]?\s*(?:leggi tutto|leggi di più|continua a leggere|read more|show more|see more|continue reading|mehr lesen|weiterlesen|mehr anzeigen|mehr erfahren|lire la suite|voir plus|leer más|ver más|seguir leyendo|lees meer|lees verder|meer tonen|truncated|gekürzt|more)\s*[\])]?$|\[(?:\.{2,}|…|\+\d+ \w+)\]$")
 DOTS = re.compile(r"(\s*)(?:\.{2,}|…+)$")
 WHOLE, DOTTED, OPEN, CUT = 0, 1, 2, 3
@@ -57,8 +62,32 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - 2**63
 
 
+def open_marks(line: str) -> bool:
+    """Stack automaton over brackets and quotation marks: whether one is open at the end of a line.
+
+    A closing mark takes its own kind from the stack, and what was opened inside with it; without its kind it says nothing (a
+    list marked a), b), ...). A straight quotation mark opens where none is open and blank, bracket or nothing is before it.
+    """
+    stack: list[str] = []
+    for m in MARK.finditer(line):
+        c = m[0]
+        if c == '"':
+            before = line[m.start() - 1] if m.start() else " "
+            if '"' in stack:
+                del stack[stack.index('"') :]
+            elif before.isspace() or before in "([{:":
+                stack.append(c)
+        elif c == "“" and "„" not in stack or c in OPENS and c != "“":
+            stack.append(c)
+        else:
+            at = max((i for i, x in enumerate(stack) if x in CLOSES[c]), default=-1)
+            if at >= 0:
+                del stack[at:]
+    return bool(stack)
+
+
 def open_structure(text: str) -> bool:
-    """Stack automaton: whether an element, bracket or quote of the last block is still open at the end."""
+    """Whether an element of the text, or a bracket or quotation mark of its last line, is still open at the end."""
     stack: list[str] = []
     closes = False
     for m in TAG.finditer(text) if "<" in text else ():
@@ -73,25 +102,18 @@ def open_structure(text: str) -> bool:
                 pass
     if any(name not in OPTIONAL or closes for name in stack):
         return True
-    last = UNIT.split(text[text.rfind("\n") + 1 :])[-1]
-    stack = []
-    for c in BRACKET.findall(last):
-        if c in "([{„“«":
-            if c == "“" and stack and stack[-1] == "„":
-                stack.pop()
-            else:
-                stack.append(c)
-        elif stack:
-            stack.pop()
-    return bool(stack)
+    return open_marks(text[text.rfind("\n") + 1 :])
+
+
+def last_words(unit: str, n: int) -> list[str]:
+    """The last n words of a unit."""
+    found = WORD.findall(" ".join(unit.rsplit(None, n + 3)[-(n + 3) :]))
+    return found[-n:] if len(found) >= n else WORD.findall(unit)[-n:]
 
 
 def key_words(unit: str) -> tuple[str, str, str]:
     """The last three words of a unit, in lower case with digits folded, filled up with ^ in front."""
-    tail = unit[-90:].lower()
-    if DIGITS.search(tail):
-        tail = DIGITS.sub("9", tail)
-    w = WORD.findall(tail)
+    w = [DIGITS.sub("9", x) if x[-1].isdigit() or DIGITS.search(x) else x for x in (y.lower() for y in last_words(unit, 3))]
     if len(w) >= 3:
         return w[-3], w[-2], w[-1]
     return ("^", "^", "") if not w else ("^", "^", w[0]) if len(w) == 1 else ("^", w[0], w[1])
@@ -100,28 +122,45 @@ def key_words(unit: str) -> tuple[str, str, str]:
 def examine(text: str) -> tuple[int, str]:
     """(status, text without the mark of a cut): whole, trailing off in dots, open or visibly cut."""
     end = text.rstrip()
-    tail = end[-TAIL:]  # marks, entities and closing tags are shorter than this; structure is followed through the whole text
-    before = end[: len(end) - len(tail)]
-    if (m := MORE.search(tail, max(0, len(tail) - 40))) and (m[0].startswith("[") or re.search(r"[\[(…]|\.\.", tail[max(0, m.start() - 3) :])):
-        return CUT, re.sub(r"\s*(?:\.{2,}|…+)$", "", before + tail[: m.start()].rstrip())
-    if BROKEN_SIGN.search(tail, max(0, len(tail) - 90)) and BROKEN.search(tail):
+    line = end[end.rfind("\n") + 1 :]
+    before = end[: len(end) - len(line)]
+    if line[-1:].isalpha() or line[-1:] in "])…":
+        if (m := _more(line)) and (m[0].startswith("[") or re.search(r"[\[(…]|\.\.", line[max(0, m.start() - 3) :])):
+            return CUT, re.sub(r"\s*(?:\.{2,}|…+)$", "", before + line[: m.start()].rstrip())
+    tag = end.rfind("<")
+    if tag > end.rfind(">") and BROKEN_TAG.match(end, tag) or BROKEN.search(end, max(0, len(end) - 12)):  # none of these is longer
         return CUT, end
-    closed = tail
-    while closed.endswith(">") and (m := CLOSING_TAG.search(closed)) and m.start():
+    closed = end
+    while closed.endswith(">") and (m := CLOSING_TAG.search(closed, closed.rfind("<"))) and m.start():
         closed = closed[: m.start()].rstrip()
-    if closed.endswith(("..", "…")) and (m := DOTS.search(closed)) and not closed.endswith("[…]"):
-        core = before + closed[: m.start()]
-        return (CUT if m[1] or open_structure(core if closed == tail else end) else DOTTED), core
+    if closed.endswith(("..", "…")) and (m := DOTS.search(closed, len(closed.rstrip(".… \t")))) and not closed.endswith("[…]"):
+        core = closed[: m.start()]
+        return (CUT if m[1] or open_structure(core if closed == end else end) else DOTTED), core
     if open_structure(end):
         return CUT, end
     return (WHOLE if closed[-1:] in '.!?»”"“' and closed else OPEN), end
 
 
+def _more(line: str) -> re.Match | None:
+    """A mark such as "read more" at the end of a line; none is as long as 40 characters."""
+    return MORE.search(line, max(0, len(line) - 40))
+
+
 def start_words(unit: str) -> str:
-    head = " ".join(unit[:60].lower().split()[:3])
+    head = " ".join(unit.lower().split(None, 3)[:3])
     return DIGITS.sub("9", head) if DIGITS.search(head) else head
 
 
+def ends_in_furniture(text: str) -> bool:
+    """Whether the last line belongs to the site; as much of the page is looked at as the style of that line depends on."""
+    lines = text.rstrip().split("\n")
+    at = len(lines) - 1
+    while at > 0 and style(lines[at]) in ("maybe_teaser", "teaser", "label", "about") and lines[at].strip():
+        at -= 1
+    styles = page_styles(lines[max(0, at - 1) :])
+    return styles[-1] in FURNITURE
+
+
 def _units(text: str) -> Iterator[str]:
     for line in text.split("\n"):
         if "<" in line:
@@ -181,7 +220,7 @@ def scan(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFram
                     ends[triple] += 1
                     starts[start] += 1
                 status, core = examine(text)
-                if status == OPEN and page_styles([x for x in text[-900:].split("\n") if x.strip()][-8:])[-1] in FURNITURE:
+                if status == OPEN and ends_in_furniture(text):
                     status = WHOLE  # the page ends with a line of its site, so that the posting above it is complete
                 last = units[-1]
                 if status == DOTTED:
@@ -191,7 +230,7 @@ def scan(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFram
                 starts[start] += 1
                 if status == WHOLE:
                     ends[a, b, c] += 1
-                found = WORD.findall(core[-80:])
+                found = last_words(core, 1)
                 name_like = bool(found) and len(found[-1]) >= 4 and (found[-1][0].isupper() or found[-1].isdigit())
                 rows.append((0, id_, src, status, len(core), len(core.encode("utf-8", "replace")), _hash(f"{a} {b} {c}"), _hash(f"{a} {b}"), _hash(start), start if len(last.split()) <= 3 else None, _hash(text), name_like, None))
             yield emit(rows)
