@@ -26,12 +26,15 @@ from jobsieve.llm.boilerplate import FURNITURE, page_styles
 
 LANGUAGES = ("de", "en", "fr", "es", "nl", "it")
 DIMENSIONS, GRAMS = 8192, (3, 4, 5, 6)
-#: N-grams bundled into a prototype: those that tell the language best from the others; fewer keep the bundle's noise low.
+#: N-grams bundled into a prototype: those that tell the language best from the others; fewer keep the bundle's noise low. A
+#: parameter of the model, like DIMENSIONS: rows are compared by all their n-grams.
 BUNDLED = 4000
 #: Labelled rows that the prototypes are trained from, and rounds of assigning and bundling again.
 SAMPLE_ROWS, ROUNDS = 3000, 1
 #: A sentence counts with so many words at least, and if its language leads the text's main one by so much cosine.
 LEAST_WORDS, LEAD = 4, 0.04
+#: A sentence of so many words whose best cosine is below this is in none of the languages.
+OTHER_WORDS, OTHER_COSINE = 8, 0.025
 WORD = re.compile(r"[^\W\d_]+")
 UNIT = re.compile(r"(?<=[.!?…])\s+")
 _NAMES = {
@@ -210,10 +213,15 @@ def describe(profiles: Profiles, text: str) -> list[tuple[str, float]]:
 def judge(cosines: np.ndarray, sizes: np.ndarray) -> list[tuple[str, float]]:
     """The languages of a text from its sentences' cosines and numbers of words.
 
-    The main language is that of most words; others need a sentence that is clearly theirs.
+    The main language is that of most words; others need a sentence that is clearly theirs. Sentences in none of the
+    languages count for "other".
     """
     if not sizes.any():
         return []
+    foreign = (sizes >= OTHER_WORDS) & (cosines.max(axis=1) < OTHER_COSINE)
+    if foreign.any():
+        rest = judge(cosines[~foreign], sizes[~foreign]) if sizes[~foreign].max(initial=0) >= LEAST_WORDS else []
+        return [*rest, ("other", _other_confidence(cosines[foreign]))]
     best = cosines.argmax(axis=1)
     long = sizes >= LEAST_WORDS
     if not long.any():
@@ -241,6 +249,11 @@ def _confidence(cosines: np.ndarray, k: int) -> float:
     return e[k] / sum(e)
 
 
+def _other_confidence(cosines: np.ndarray) -> float:
+    """1 where nothing is alike, 0.5 at the limit."""
+    return round(1 - 0.5 * max(0.0, float(cosines.max(axis=1).mean())) / OTHER_COSINE, 4)
+
+
 def segments(profiles: Profiles, text: str) -> list[tuple[int, str, str, float]]:
     """(number, language, text, confidence): the stretches of a text in one language."""
     units = sentences(text)
@@ -249,17 +262,17 @@ def segments(profiles: Profiles, text: str) -> list[tuple[int, str, str, float]]
     spoken = describe(profiles, text)
     if not spoken:
         return []
-    allowed = [LANGUAGES.index(x) for x, _ in spoken]
+    allowed = [LANGUAGES.index(x) for x, _ in spoken if x != "other"]
     cosines, sizes = profiles.cosines(units)
     out: list[list] = []
     for unit, row, size in zip(units, cosines, sizes):
-        k = max(allowed, key=lambda a: row[a])
+        k = -1 if not allowed or size >= OTHER_WORDS and row.max() < OTHER_COSINE else max(allowed, key=lambda a: row[a])
         if out and (size < LEAST_WORDS or out[-1][1] == k):
             out[-1][2].append(unit)
             out[-1][3].append(row)
         else:
             out.append([len(out) + 1, k, [unit], [row]])
-    return [(no, LANGUAGES[k], " ".join(parts), round(_confidence(np.array(rows), k), 4)) for no, k, parts, rows in out]
+    return [(no, LANGUAGES[k] if k >= 0 else "other", " ".join(parts), round(_confidence(np.array(rows), k), 4) if k >= 0 else _other_confidence(np.array(rows))) for no, k, parts, rows in out]
 
 
 def training_rows(df: DataFrame, labels: DataFrame, id_col: str, title_col: str, text_col: str, label_col: str, limit: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
@@ -324,13 +337,13 @@ def find_wrong_labels(df: DataFrame, labels: DataFrame, id_col: str = "job_id",
     """Distinct (id_col, field_name, lang, confidence): the languages of the fields whose label is missing or not exactly theirs.
 
     A record without a label that means one of the six languages is a case, as is one whose labels differ from the
-    field's languages. Null and blank fields, and texts without letters, are no cases; repeated rows and labels count once;
+    field's languages. Null and blank fields, texts without letters and texts in other languages alone are no cases; repeated rows and labels count once;
     with no labels at all every field is a case by prototypes passed in (without any, there is nothing to train from).
     """
     if prototypes is None:
         rows = training_rows(df, labels, id_col, title_col, text_col, label_col)
         prototypes = train(rows)
-    found = field_languages(df, prototypes, id_col, title_col, text_col).groupBy(id_col, "field_name").agg(F.array_sort(F.collect_set("lang")).alias("langs"), F.max_by("confidence", "confidence").alias("confidence"), F.collect_set(F.struct("lang", "confidence")).alias("parts"))
+    found = field_languages(df, prototypes, id_col, title_col, text_col).where("lang <> 'other'").groupBy(id_col, "field_name").agg(F.array_sort(F.collect_set("lang")).alias("langs"), F.max_by("confidence", "confidence").alias("confidence"), F.collect_set(F.struct("lang", "confidence")).alias("parts"))
     meant = labels.select(F.col(id_col), label_language(F.col(label_col)).alias("label")).where("label is not null").groupBy(id_col).agg(F.array_sort(F.collect_set("label")).alias("labels"))
     joined = found.join(meant, id_col, "left").where("labels is null or labels <> langs")
     return joined.select(id_col, "field_name", F.explode("parts").alias("p")).select(id_col, "field_name", "p.lang", "p.confidence").distinct()
