@@ -1,10 +1,11 @@
 """Personal data in free text, found and replaced (problem 10).
 
-Weak supervision: patterns propose spans; labelers of three sorts - patterns (form), gazetteers (first names, towns) and
-context (words before and after) - vote for or against each span or abstain. Expectation-maximisation over the counts of
-all vote patterns in the corpus estimates how reliable each labeler is; a logistic classifier is then trained on the vote
-patterns, weighted by the posterior, and decides every span. Vote patterns are few whatever the size of the corpus, so only
-their counts reach the driver. Overlapping spans are settled in favour of the more certain, then the longer one.
+Weak supervision: patterns and gazetteers propose spans, and labelers of four sorts - patterns (form), gazetteers (first
+names, towns), context (words before and after) and plausibility (lengths, check digits) - vote for or against each span or
+abstain. Expectation-maximisation over the counts of all vote patterns in the corpus estimates how reliable each labeler is,
+from a prior worth a few votes; a logistic classifier over the votes and over features that no labeler looks at is then
+trained on the posteriors and decides every span. Patterns are few whatever the size of the corpus, so only their counts reach
+the driver. Overlapping spans are settled in favour of the more certain, then the longer one.
 """
 
 from __future__ import annotations
@@ -21,11 +22,14 @@ from pyspark.sql import functions as F
 from jobsieve.session import write_once
 
 KINDS = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
-LABELERS = ("form", "strict", "before", "after", "gazetteer", "against")
-#: How often a labeler's votes are taken to be right before the corpus is seen.
-ASSUMED = (0.7, 0.9, 0.95, 0.8, 0.95, 0.998)
-#: Estimates may fall below what is assumed by this much.
-SHIFT = 0.02
+LABELERS = ("form", "strict", "before", "after", "gazetteer", "against", "plausible")
+#: How often a labeler's votes are taken to be right before the corpus is seen, and how many votes that counts for.
+ASSUMED = (0.7, 0.9, 0.95, 0.8, 0.95, 0.998, 0.75)
+PRIOR_VOTES = 30.0
+#: What the classifier sees besides the votes: one bit each.
+FEATURES = ("starts a line", "ends a line", "three words or more", "capitals only", "over 25 characters", "digits inside")
+#: Rows of the gazetteer of towns that are sent to all workers at most; a longer list is refused.
+TOWNS = 2_000_000
 
 # First names, a gazetteer of moderate size in the six languages.
 FIRST_NAMES = set(
@@ -143,11 +147,48 @@ NAME_AFTER = re.compile(r"^\s*(?:[,.;:()\n]|$|(?:hat|ist|war|has|is|was|went|fil
 PLACE_WORDS = re.compile(r"(?:Projekt|project|projet|proyecto|progetto|plan|Plan|machine|Anlage|crew|Gruppe|near|yard at|Lager bei|Hof in|road to|Weg nach)\s+$")
 
 
-@lru_cache(maxsize=1)
-def _town_pattern(towns: tuple[str, ...]) -> re.Pattern:
-    known = "|".join(re.escape(t) for t in sorted(towns, key=len, reverse=True))
-    town = rf"(?:{known}|{TOWN})" if known else TOWN
-    return re.compile(rf"(?:[,;]?\s(?:in\s)?{_CODE}\s{town}|,?\s(?:in\s)?{town},?\s(?:[A-Z]{{1,2}}[\s\-])?\d{{4,5}}(?!\d))")
+CODE_BEFORE = re.compile(rf"[,;]?\s(?:in\s)?{_CODE}\s")
+TOWN_FORM = re.compile(TOWN)
+TOWN_BEFORE = re.compile(r",?\s(?:in\s)?(?=[A-ZÄÖÜÀ-Ý])")
+CODE_AFTER = re.compile(r",?\s(?:[A-Z]{1,2}[\s\-])?\d{4,5}(?!\d)")
+
+
+class Towns:
+    """Names of towns by their first word, longest first."""
+
+    def __init__(self, names: tuple[str, ...] = ()):
+        self.by: dict[str, list[str]] = {}
+        for name in sorted(names, key=len, reverse=True):
+            if name.strip():
+                self.by.setdefault(name.split()[0], []).append(name)
+
+    def at(self, text: str, start: int) -> list[int]:
+        """The ends of the town names that may stand at this place: listed ones first, then the one by its form."""
+        m = re.compile(r"\S+").match(text, start)
+        first = m[0].rstrip(",.;:)") if m else ""
+        found = [start + len(n) for n in self.by.get(first, ()) if text.startswith(n, start)]
+        form = TOWN_FORM.match(text, start)
+        return [*found, *([form.end()] if form else [])]
+
+    def tail(self, text: str, start: int) -> tuple[int, bool] | None:
+        """(end, listed) of postcode and town, in either order, behind a street."""
+        if m := CODE_BEFORE.match(text, start):
+            for end in self.at(text, m.end()):
+                return end, self.listed(text[m.end() : end])
+        if m := TOWN_BEFORE.match(text, start):
+            for end in self.at(text, m.end()):
+                if c := CODE_AFTER.match(text, end):
+                    return c.end(), self.listed(text[m.end() : end])
+        return None
+
+    def listed(self, name: str) -> bool:
+        return name in self.by.get(name.split()[0], ())
+
+
+GIVEN = {n.title() for n in FIRST_NAMES}
+FREE = re.compile(rf"(?<![\w'’.\-])(?=(({_G}) ((?:[A-Z]\. )?{_P.replace(chr(92) + 's', ' ')}?{_F}))(?![\w]))")
+#: Endings of words that are streets, companies or places and no family names.
+NO_FAMILY = re.compile(r"(?i)(?:straße|strasse|gasse|weg|platz|allee|schule|klinik|stiftung|verlag|haus|hotel|gruppe|group|street|road|avenue|university|college|foundation)$")
 
 
 AT_SIGNS = ("[at", "(at", "{at", "<at", "[ät", "(ät", "[ at", "( at", " at ", " ät ", "arroba", "chiocciola", "arobase", "apenstaartje")
@@ -191,17 +232,102 @@ def _before(text: str, at: int, size: int = 48) -> str:
     return text[max(0, at - size) : at]
 
 
-def candidates(text: str, towns: tuple[str, ...] = ()) -> list[tuple[str, int, int, tuple[int, ...]]]:
-    """(kind, start, end, votes of LABELERS) of every span that a pattern proposes; votes are 1, 0 or -1."""
+def valid(shape: str, span: str) -> bool:
+    """Whether the check digits of an identity number of this shape are right, for the shapes that have some."""
+    d = re.sub(r"\D", "", span)
+    if shape == "dni":
+        number = d if span[0].isdigit() else str("XYZ".index(span[0])) + d
+        return span[-1] == "TRWAGMYFPDXBNJZSQVHLCKE"[int(number) % 23]
+    if shape == "nir":
+        return len(d) == 15 and 97 - int(d[:13]) % 97 == int(d[13:])
+    if shape == "nine":
+        return sum(int(c) * w for c, w in zip(d, (9, 8, 7, 6, 5, 4, 3, 2, -1))) % 11 == 0
+    if shape == "tax" or (shape == "long" and len(d) == 11):
+        rest = 10
+        for c in d[:10]:
+            total = (int(c) + rest) % 10 or 10
+            rest = total * 2 % 11
+        return (11 - rest) % 10 == int(d[10])
+    if shape == "long" and len(d) == 10:
+        return (11 - sum(int(c) * w for c, w in zip(d, range(10, 1, -1))) % 11) % 11 == int(d[9])
+    return False
+
+
+def features(text: str, start: int, end: int) -> int:
+    span = text[start:end]
+    bits = (not text[:start].rstrip(" \t") or text[:start].rstrip(" \t").endswith("\n")) if start < 40 else text[start - 40 : start].rstrip(" \t").endswith("\n")
+    after = text[end : end + 40].lstrip(" \t.,;")
+    found = (bits, not after or after.startswith("\n"), len(span.split()) >= 3, span.isupper(), len(span) > 25, any(c.isdigit() for c in span))
+    return sum(1 << i for i, f in enumerate(found) if f)
+
+
+NO_TOWNS = Towns()
+
+
+@lru_cache(maxsize=1)
+def _automata():
+    """Automata over the strings that salutations, first names (as they stand), lead-ins and spelled addresses (in lower case) need."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return None  # the patterns are then searched for in the whole text, with the same result
+    plain, low = ahocorasick.Automaton(), ahocorasick.Automaton()
+    for automaton, groups in ((plain, (("salutation", SALUTED), ("given", {n + " " for n in GIVEN}))), (low, (("lead", LED), ("at", AT_SIGNS)))):
+        for kind, words in groups:
+            for w in words:
+                automaton.add_word(w, (kind, len(w)))
+        automaton.make_automaton()
+    return plain, low
+
+
+def _beginnings(text: str, hits: list[tuple[int, int]], back: int) -> list[int]:
+    """Where the words of these hits (end, length) begin, and the `back` words before each."""
+    out: set[int] = set()
+    for end, size in hits:
+        at = end - size + 1
+        for _ in range(back + 1):
+            while at > 0 and (text[at - 1].isalnum() or text[at - 1] in "_'’"):
+                at -= 1
+            out.add(at)
+            if at == 0 or text[at - 1] not in " \t":
+                break
+            at -= 1
+    return sorted(out)
+
+
+def _found_at(pattern: re.Pattern, text: str, hits: list[tuple[int, int]] | None, back: int) -> Iterator[re.Match]:
+    """The matches of a pattern that begins at a word, from those of its strings that were hit; in the whole text without hits."""
+    if hits is None:
+        yield from pattern.finditer(text)
+        return
+    past = -1
+    for at in _beginnings(text, hits, back) if hits else ():
+        if at >= past and (m := pattern.match(text, at)):
+            past = m.end()
+            yield m
+
+
+def candidates(text: str, towns: Towns = NO_TOWNS) -> list[tuple[str, int, int, tuple[int, ...]]]:
+    """(kind, start, end, votes of LABELERS) of every span that is proposed; votes are 1, 0 or -1."""
     out: list[tuple[str, int, int, tuple[int, ...]]] = []
     low = text.lower()
-    if "@" in text or any(x in low for x in AT_SIGNS):
+    hits: dict[str, list[tuple[int, int]] | None] = {"salutation": [], "given": [], "lead": [], "at": []}
+    automata = _automata()
+    if automata is None:
+        hits = dict.fromkeys(hits)
+    else:
+        for automaton, own in zip(automata, (text, low)):
+            for end, (kind, size) in automaton.iter(own):
+                hits[kind].append((end, size))
+        if len(low) != len(text):
+            hits["lead"] = None  # places in the lower-case text are not those in the text
+    if "@" in text or hits["at"] is None or hits["at"]:
         for m in EMAIL.finditer(text):
             span = m[1]
             strict = 1 if EMAIL_STRICT.fullmatch(span) else 0
             top = re.split(r"[^A-Za-zäöüß]+", span)[-1]
             before = 1 if re.search(r"(?i)(?:mail|schreiben sie an|write to|écrivez à|escribe a|schrijf naar|scrivi a|an|to|à|a|naar|[(,:])\s*$", _before(text, m.start(1))) else 0
-            out.append(("EMAIL", m.start(1), m.end(1), (1 if len(top) >= 2 else -1, strict, before, 0, 1 if re.search(r"(?i)(?:com|org|net|de|eu|fr|es|it|nl|uk|example|invalid|test|info|io)$", span) else 0, 0)))
+            out.append(("EMAIL", m.start(1), m.end(1), (1 if len(top) >= 2 else -1, strict, before, 0, 1 if re.search(r"(?i)(?:com|org|net|de|eu|fr|es|it|nl|uk|example|invalid|test|info|io)$", span) else 0, 0, 1 if re.match(r"[^\W\d_]", span) else 0)))
     # Numbers and streets are only looked for around runs of digits, which few stretches of a text have.
     zones = [(max(0, m.start() - 12), min(len(text), m.end() + 40)) for m in DIGIT_RUN.finditer(text)]
     zones += [(max(0, m.start() - 2), min(len(text), m.end() + 4)) for m in CODE_RUN.finditer(text)]
@@ -217,7 +343,7 @@ def candidates(text: str, towns: tuple[str, ...] = ()) -> list[tuple[str, int, i
             labelled = -1 if ID_LABEL.search(before) else 0
             strict = 1 if re.match(r"\+|\(", span) or (span.startswith("00") and n >= 11) or re.fullmatch(r"(?:1[\-. ])?\(?\d{3}\)?[\-. ]\d{3}[\-. ]\d{4}", span) or re.fullmatch(rf"0[1-9]\d{{0,5}}(?:{_S}\d+){{1,5}}|0[1-9]\d{{8,10}}", span) else 0
             odd = -1 if re.match(r"0000|000[ \-]", span) else 1
-            out.append(("PHONE", m.start(1), m.end(1), (odd, strict, -1 if against else 1 if PHONE_BEFORE.search(before) else 0, 0, labelled, against)))
+            out.append(("PHONE", m.start(1), m.end(1), (odd, strict, -1 if against else 1 if PHONE_BEFORE.search(before) else 0, 0, labelled, against, 1 if 9 <= n <= 13 else 0)))
         for name, pattern, telling in ID_SHAPES:
             for m in _within(pattern, text, zones):
                 span = m[1]
@@ -226,16 +352,16 @@ def candidates(text: str, towns: tuple[str, ...] = ()) -> list[tuple[str, int, i
                 before = _before(text, m.start(1), 60)
                 labelled = ID_LABEL.search(before)
                 against = -1 if AGAINST.search(before) or (not labelled and PHONE_BEFORE.search(before)) else 0
-                out.append(("ID_NUMBER", m.start(1), m.end(1), (1 if telling else 0 if labelled else -1, 1 if telling else 0, 1 if labelled else -1, 0, 0, against)))
-    tail = _town_pattern(towns)
+                out.append(("ID_NUMBER", m.start(1), m.end(1), (1 if telling else 0 if labelled else -1, 1 if telling else 0, 1 if labelled else -1, 0, 0, against, 1 if valid(name, span) else 0)))
     for k, start, end in _streets(text):
-        t = tail.match(text, end)
+        t = towns.tail(text, end)
         span = text[start:end]
         before = 1 if ADDRESS_BEFORE.search(_before(text, start)) else 0
-        named = 1 if t and any(x in t[0] for x in towns) else 0
+        named = 1 if t and t[1] else 0
         halls = -1 if re.match(r"(?i)(?:halle|hall|raum|room|seite|kapitel|im projekt|in halle|zum projekt)\b", span) or re.search(r"(?i)projekt|project", span) else 0
         prep = 0 if k == 0 and re.match(r"(?:Am|An|Im|In|Zum|Zur|Auf|Unter|Hinter|Vor|Beim)\s", span) and not re.search(r"(?:gasse|straße|strasse|str\.|weg|steig|winkel|platz|ufer|allee|ring|damm|stock|berg|hof|tor|markt|graben|park|hain|grund)\b", span) else 1
-        out.append(("ADDRESS", start, t.end() if t else end, (1, prep, before, 1 if t else 0, named, halls)))
+        number = re.search(r"\d+", span)
+        out.append(("ADDRESS", start, t[0] if t else end, (1, prep, before, 1 if t else 0, named, halls, 1 if number and len(number[0]) <= 3 else 0)))
     seen: set[tuple[int, int]] = set()
 
     def propose(at: int, salutation: bool, ending: bool) -> None:
@@ -273,63 +399,81 @@ def candidates(text: str, towns: tuple[str, ...] = ()) -> list[tuple[str, int, i
             return
         seen.add((start, end))
         after = text[end : end + 40]
-        contact = 1 if NAME_AFTER.match(after) or re.match(r"\s*\n|\s+[A-ZÄÖÜ]", after) else -1
+        contact = 1 if NAME_AFTER.match(after) or (led and re.match(r"\s*\n|\s+[A-ZÄÖÜ]", after)) else -1 if led else 0
         against = -1 if PLACE_WORDS.search(_before(text, start)) or re.match(r"\s+(?:crew|machine|plan|GmbH|AG|KG|SE|Ltd|Inc|B\.V|S\.A|Consulting|Engineering|Logistik|Software|Straße|Street)\b", after) else 0
-        out.append(("NAME", start, end, (1 if form != "family" else 0, 1 if salutation else 0, 1 if led else -1, contact, 1 if given else 0, against)))
+        if against and not led:
+            return  # a company, project or place that bears a person's name
+        words = [w for w in re.split(r"[\s,]+", text[start:end]) if w]
+        plausible = 1 if len(words) > 1 and words[-1].lower() not in STARTERS and words[0].lower() not in STARTERS else 0
+        out.append(("NAME", start, end, (1 if form != "family" else 0, 1 if salutation else 0, 1 if led else 0, contact, 1 if given else 0, against, plausible)))
 
-    for m in SALUTATION.finditer(text) if any(x in text for x in SALUTED) else ():
+    for m in _found_at(SALUTATION, text, hits["salutation"], 1):
         propose(m.end(), True, False)
-    for m in LEAD.finditer(text) if any(x in low for x in LED) else ():
+    for m in _found_at(LEAD, text, hits["lead"], 2):
         at = m.end()
         s = None if text.startswith("M. ", at) else SALUTATION.match(text, at)  # after a lead-in M. is an initial
         propose(s.end() if s else at, bool(s), bool(ENDING_LEAD.search(m[0])))
+    # Names in free text: a first name of the gazetteer and a family name behind it, where nothing else was proposed.
+    if hits["given"] is None or hits["given"]:
+        taken = list(seen)
+        for m in FREE.finditer(text) if hits["given"] is None else filter(None, (FREE.match(text, at) for at in _beginnings(text, hits["given"], 0))):
+            start, end = m.start(1), m.end(1)
+            if m[2] not in GIVEN or any(start < b and a < end for a, b in taken):
+                continue
+            family = m[3].split(" ")[-1]
+            if family.lower() in STARTERS or m[3].split(" ")[0].lower() in STARTERS or NO_FAMILY.search(family):
+                continue
+            add(start, end, "full", True, False, False)
     return out
 
 
-def encode(votes: tuple[int, ...]) -> int:
+def encode(votes: tuple[int, ...], bits: int = 0) -> int:
     code = 0
     for v in votes:
         code = code * 3 + v + 1
-    return code
+    return code << len(FEATURES) | bits
 
 
-def decode(code: int) -> tuple[int, ...]:
+def decode(code: int) -> tuple[tuple[int, ...], int]:
+    """The votes and the features of a code."""
+    bits = code & ((1 << len(FEATURES)) - 1)
+    code >>= len(FEATURES)
     out = []
     for _ in LABELERS:
         out.append(code % 3 - 1)
         code //= 3
-    return tuple(reversed(out))
+    return tuple(reversed(out)), bits
 
 
 def reliabilities(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60, prior: float = 0.6) -> tuple[np.ndarray, np.ndarray]:
-    """EM over vote patterns: (posterior of each pattern, reliability of each labeler's votes).
+    """EM over vote patterns: (posterior of each pattern, how often each labeler's votes for and against are right).
 
     Votes are taken as independent given the truth; a labeler that votes is right with a probability of its own, which
-    starts at ASSUMED. What is assumed counts as much as a third of the spans, so that labelers that seldom vote, and a
-    corpus in which nearly every span is a find, don't turn the two classes' meaning.
+    starts at ASSUMED. What is assumed counts for PRIOR_VOTES votes, so that labelers that hardly ever vote keep it and
+    the corpus decides about all others; a labeler that is right less than half of the time is one that tells nothing.
     """
     votes = patterns != 0
     yes = patterns > 0
     assumed = np.array(ASSUMED[: patterns.shape[1]])
     right = np.stack([assumed, assumed], axis=1)  # of votes for, and of votes against
-    share, strength = prior, counts.sum() / 3
+    share = prior
     posterior = np.full(len(patterns), share)
     for _ in range(rounds):
         log_true = np.log(share) + (votes * np.where(yes, np.log(right[:, 0]), np.log(1 - right[:, 1]))).sum(axis=1)
         log_false = np.log(1 - share) + (votes * np.where(yes, np.log(1 - right[:, 0]), np.log(right[:, 1]))).sum(axis=1)
         posterior = 1 / (1 + np.exp(np.clip(log_false - log_true, -50, 50)))
         w = posterior * counts
-        share = np.clip((w.sum() + strength * prior) / (counts.sum() + strength), 0.02, 0.9)
+        share = np.clip((w.sum() + PRIOR_VOTES * prior) / (counts.sum() + PRIOR_VOTES), 0.02, 0.9)
         for j in range(patterns.shape[1]):
             plus, minus = votes[:, j] & yes[:, j], votes[:, j] & ~yes[:, j]
-            right[j, 0] = np.clip((w[plus].sum() + strength * assumed[j]) / (counts[plus].sum() + strength), assumed[j] - SHIFT, 0.998)
-            right[j, 1] = np.clip(((counts - w)[minus].sum() + strength * assumed[j]) / (counts[minus].sum() + strength), assumed[j] - SHIFT, 0.998)
+            right[j, 0] = np.clip((w[plus].sum() + PRIOR_VOTES * assumed[j]) / (counts[plus].sum() + PRIOR_VOTES), 0.5, 0.998)
+            right[j, 1] = np.clip(((counts - w)[minus].sum() + PRIOR_VOTES * assumed[j]) / (counts[minus].sum() + PRIOR_VOTES), 0.5, 0.998)
     return posterior, right
 
 
-def train_classifier(patterns: np.ndarray, counts: np.ndarray, posterior: np.ndarray, steps: int = 40, ridge: float = 1e-3) -> np.ndarray:
-    """Weights of a logistic model over votes for, votes against and a constant, fitted to the posteriors by Newton's method."""
-    x = np.hstack([(patterns > 0), (patterns < 0), np.ones((len(patterns), 1))]).astype(float)
+def train_classifier(x: np.ndarray, counts: np.ndarray, posterior: np.ndarray, steps: int = 40, ridge: float = 1e-2) -> np.ndarray:
+    """Weights of a logistic model over the columns of x and a constant, fitted to the posteriors by Newton's method."""
+    x = np.hstack([x, np.ones((len(x), 1))])
     weights = np.sqrt(counts / counts.sum())
     theta = np.zeros(x.shape[1])
     for _ in range(steps):
@@ -341,19 +485,31 @@ def train_classifier(patterns: np.ndarray, counts: np.ndarray, posterior: np.nda
     return theta
 
 
+def columns_of(codes: list[int]) -> np.ndarray:
+    """Votes for, votes against and features of codes, as columns of the classifier."""
+    own = [decode(c) for c in codes]
+    votes = np.array([v for v, _ in own])
+    bits = np.array([[b >> i & 1 for i in range(len(FEATURES))] for _, b in own])
+    return np.hstack([votes > 0, votes < 0, bits]).astype(float)
+
+
 def fit(counts: list[tuple[str, int, int]]) -> dict[tuple[str, int], float]:
-    """Probability of every (kind, vote pattern) from the corpus counts."""
+    """Probability of every (kind, code) from the corpus counts."""
     table = {}
     for kind in KINDS:
         own = [(code, n) for k, code, n in counts if k == kind]
         if not own:
             continue
-        patterns = np.array([decode(code) for code, _ in own])
+        by_votes: dict[tuple[int, ...], float] = {}
+        for code, n in own:
+            votes = decode(code)[0]
+            by_votes[votes] = by_votes.get(votes, 0.0) + n
+        posterior, _ = reliabilities(np.array(list(by_votes)), np.array(list(by_votes.values())))
+        of = dict(zip(by_votes, posterior))
+        x = columns_of([code for code, _ in own])
         n = np.array([c for _, c in own], dtype=float)
-        posterior, _ = reliabilities(patterns, n)
-        theta = train_classifier(patterns, n, posterior)
-        x = np.hstack([(patterns > 0), (patterns < 0), np.ones((len(patterns), 1))]).astype(float)
-        for (code, _), p in zip(own, 1 / (1 + np.exp(-x @ theta))):
+        theta = train_classifier(x, n, np.array([of[decode(code)[0]] for code, _ in own]))
+        for (code, _), p in zip(own, 1 / (1 + np.exp(-(x @ theta[:-1] + theta[-1])))):
             table[kind, code] = float(p)
     return table
 
@@ -368,41 +524,47 @@ def settle(found: list[tuple[str, int, int, int]], table: dict[tuple[str, int],
     return sorted(taken, key=lambda x: x[1])
 
 
-def scan(df: DataFrame, id_col: str, text_col: str, towns: tuple[str, ...]) -> DataFrame:
-    """(id, kind[], found_text[], start[], stop[], code[]) of every text with a proposed span."""
+def scan(df: DataFrame, id_col: str, text_col: str, towns: tuple[str, ...], keep_text: bool = False) -> DataFrame:
+    """(id, kind[], found_text[], start[], stop[], code[]) of every text with a proposed span; with keep_text of every row, and its text."""
     shared = df.sparkSession.sparkContext.broadcast(towns)
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    kinds = (pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = Towns(shared.value)
         for batch in batches:
-            ids, rows = [], []
+            ids, rows, texts = [], [], []
             for id_, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
-                if not text:
-                    continue
-                found = candidates(text, shared.value)
-                if found:
+                found = candidates(text, names) if text else []
+                if found or keep_text:
                     ids.append(id_)
                     rows.append(found_columns(text, found))
-            columns = [pa.array(c, t) for c, t in zip(([r[i] for r in rows] for i in range(5)), (pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32())))]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *columns], ["id", "kind", "found_text", "start", "stop", "code"])
+                    texts.append(text)
+            columns = [pa.array(c, t) for c, t in zip(([r[i] for r in rows] for i in range(5)), kinds)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *columns, *([pa.array(texts, pa.string())] if keep_text else [])], ["id", "kind", "found_text", "start", "stop", "code", *(["text"] if keep_text else [])])
 
-    return source.mapInArrow(run, "id long, kind array<string>, found_text array<string>, start array<int>, stop array<int>, code array<int>")
+    return source.mapInArrow(run, "id long, kind array<string>, found_text array<string>, start array<int>, stop array<int>, code array<int>" + (", text string" if keep_text else ""))
 
 
 def found_columns(text: str, found: list[tuple[str, int, int, tuple[int, ...]]]) -> tuple[list, ...]:
-    return [f[0] for f in found], [text[f[1] : f[2]] for f in found], [f[1] for f in found], [f[2] for f in found], [encode(f[3]) for f in found]
+    return [f[0] for f in found], [text[f[1] : f[2]] for f in found], [f[1] for f in found], [f[2] for f in found], [encode(f[3], features(text, f[1], f[2])) for f in found]
 
 
 def vote_counts(scanned: DataFrame) -> list[tuple[str, int, int]]:
-    """(kind, vote pattern, count) over the whole corpus: at most 5 x 3^6 rows."""
+    """(kind, code, count) over the whole corpus: at most 5 x 3^7 x 2^6 rows, of which a few hundred occur."""
     pairs = scanned.select(F.explode(F.arrays_zip("kind", "code")).alias("x"))
     return [(r.kind, r.code, r.n) for r in pairs.groupBy(F.col("x.kind").alias("kind"), F.col("x.code").alias("code")).agg(F.count("*").alias("n")).collect()]
 
 
-def town_names(places: DataFrame | None, name_col: str = "place_name", most: int = 20_000) -> tuple[str, ...]:
-    """The gazetteer of towns, a reference list of at most `most` names."""
-    return () if places is None else tuple(r[0] for r in places.select(name_col).where(f"{name_col} is not null").distinct().orderBy(name_col).limit(most).collect())
+def town_names(places: DataFrame | None, name_col: str = "place_name", most: int = TOWNS) -> tuple[str, ...]:
+    """The gazetteer of towns; a list of more than `most` names is refused, for it goes to all workers."""
+    if places is None:
+        return ()
+    names = places.select(name_col).where(f"{name_col} is not null").distinct()
+    if names.count() > most:
+        raise ValueError(f"a gazetteer of over {most} towns does not fit on every worker")
+    return tuple(r[0] for r in names.orderBy(name_col).collect())
 
 
 def find_personal(df: DataFrame, places: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -430,24 +592,22 @@ def find_personal(df: DataFrame, places: DataFrame | None = None, id_col: str =
 
 def redact(df: DataFrame, places: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, redacted): every text with each find replaced by [KIND]; null stays null, the rest is unchanged."""
-    towns = town_names(places)
-    table = fit(vote_counts(write_once(scan(df, id_col, text_col, towns))))
-    shared = df.sparkSession.sparkContext.broadcast((table, towns))
-    source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    scanned = write_once(scan(df, id_col, text_col, town_names(places), keep_text=True))
+    shared = df.sparkSession.sparkContext.broadcast(fit(vote_counts(scanned)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, names = shared.value
+        own = shared.value
         for batch in batches:
             out = []
-            for text in batch.column(1):
-                text = text.as_py()
+            for row in batch.to_pylist():
+                text = row["text"]
                 if text:
                     parts, at = [], 0
-                    for kind, s, e in settle([(k, s, e, encode(v)) for k, s, e, v in candidates(text, names)], own):
+                    for kind, s, e in settle(list(zip(row["kind"], row["start"], row["stop"], row["code"])), own):
                         parts += [text[at:s], f"[{kind}]"]
                         at = e
                     text = "".join([*parts, text[at:]])
                 out.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["id", "redacted"])
 
-    return source.mapInArrow(run, "id long, redacted string").withColumnRenamed("id", id_col)
+    return scanned.mapInArrow(run, "id long, redacted string").withColumnRenamed("id", id_col)

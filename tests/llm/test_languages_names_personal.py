@@ -56,6 +56,14 @@ def test_labels_and_cases(spark, prototypes):
     assert L.find_wrong_labels(jobs, labels.where("false")).select("job_id").distinct().count() >= 1
 
 
+def test_other_languages_are_not_forced_into_one_of_the_six():
+    cosines = np.array([[0.2, 0.01, 0, 0, 0, 0], [0.01, 0.012, 0, 0, 0, 0], [0.015, 0.0, 0, 0, 0, 0]], dtype=np.float32)
+    sizes = np.array([9, 10, 12])
+    assert [x for x, _ in L.judge(cosines, sizes)] == ["de", "other"]
+    assert [x for x, _ in L.judge(cosines[1:], sizes[1:])] == ["other"] and L.judge(cosines[1:], sizes[1:])[0][1] > 0.5
+    assert [x for x, _ in L.judge(cosines[1:2], np.array([3]))] == ["en"]  # too short to tell
+
+
 SAME = [
     ["Kroilkfal Kanmergra Software GmbH & Co. KG", "KROILKFAL KANMERGRA SOFTWARE GMBH & CO. KG", "Kroilkfal SW GmbH und Co. KG", "KroilkfalKanmergra Software", "Kanmergra Kroilkfal Software", "(via Kroilkfal Kanmergra Software)", "Kroilkfal K. Software", "Kroilkfla Kanmergra Software", "Fa. Kroilkfal Kanmergra"],
     ["Gärtnerei Rebekka Osriktanzi", "Gaertnerei Rebekka Osriktanzi", "Gärtn. Becky Osriktanzi", "Osriktanzi Rebekka, Gärtnerei", "Gärtnerei R. Osriktanzi", "Gärtnerei Dr. Rebekka Osriktanzi"],
@@ -147,11 +155,39 @@ def test_personal_data(spark):
     assert P.find_personal(df.where("false")).count() == 0
 
 
+def test_names_in_free_text_and_towns_of_any_list(spark):
+    text = "Yesterday Anna Müller met the team and Peter Schmidt left. The Anna Straße 5 and the Maria Hotel stayed. Thomas Weber GmbH won."
+    df = spark.createDataFrame([(1, text)] + [(10 + i, f"Frau Claudia Berg{chr(97 + i)} hat angerufen, dann ging Laura Tal{chr(97 + i)} heim.") for i in range(20)], "doc_id long, text string")
+    got = {r.found_text for r in P.find_personal(df).where("doc_id = 1 and kind = 'NAME'").collect()}
+    assert got == {"Anna Müller", "Peter Schmidt"}
+    towns = P.Towns(("Neustett", "Neustett an der Ohle", "Ohle"))
+    assert towns.tail(" in 12345 Neustett an der Ohle, dort", 0) == (30, True) and towns.tail(", Ohle 12345.", 0) == (12, True) and towns.tail(" 12345 Weiler", 0) == (13, False) and towns.tail(" dort", 0) is None
+    places = spark.createDataFrame([("A",), ("B",)], "place_name string")
+    assert P.town_names(places) == ("A", "B")
+    import pytest
+
+    with pytest.raises(ValueError):
+        P.town_names(places, most=1)
+
+
+def test_check_digits():
+    assert P.valid("dni", "12345678Z") and not P.valid("dni", "12345678A") and P.valid("dni", "X1234567L")
+    assert P.valid("nine", "111222333") and not P.valid("nine", "111222334") and P.valid("tax", "86 095 742 719") and P.valid("long", "9434765919") and not P.valid("card", "C01X00T47")
+
+
+def test_the_corpus_decides_about_the_labelers():
+    # The second labeler is wrong in most of its votes here, whatever is assumed of it.
+    patterns = np.array([(1, 0, 1, 0, 1, 0, 1), (1, 1, -1, 0, -1, -1, 0), (1, 0, -1, 0, -1, -1, 0), (1, 1, 1, 0, 1, 0, 1)])
+    posterior, right = P.reliabilities(patterns, np.array([500.0, 400.0, 300.0, 20.0]))
+    assert posterior[0] > 0.95 > 0.05 > posterior[1]
+    assert right[1, 0] <= 0.55 < P.ASSUMED[1] and right[2, 0] > P.ASSUMED[2]
+
+
 def test_votes_round_trip_and_em():
     import itertools
 
-    for votes in itertools.islice(itertools.product((-1, 0, 1), repeat=len(P.LABELERS)), 0, 729, 7):
-        assert P.decode(P.encode(votes)) == votes
+    for votes in itertools.islice(itertools.product((-1, 0, 1), repeat=len(P.LABELERS)), 0, 2187, 7):
+        assert P.decode(P.encode(votes, 5)) == (votes, 5)
     patterns = np.array([(1, 1, 1, 0, 0, 0), (1, 0, -1, 0, 0, -1)])
     posterior, right = P.reliabilities(patterns, np.array([500.0, 100.0]))
     assert posterior[0] > 0.95 > 0.1 > posterior[1] and (right > 0.5).all()

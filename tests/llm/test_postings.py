@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from jobsieve.llm.boilerplate import find_boilerplate, main_text
 from jobsieve.llm.canonical import map_to_references
 from jobsieve.llm.residue import evidence, evidence_lines, find_residue, recurrent_lines
-from jobsieve.llm.truncation import CUT, DOTTED, OPEN, WHOLE, examine, find_truncated, truncation_by_source
+from jobsieve.llm.truncation import CUT, DOTTED, OPEN, WHOLE, ends_in_furniture, examine, find_truncated, key_words, start_words, truncation_by_source
 
 WHOLE_TEXT = "We look after pumps of every kind. You will plan the work of the team. We offer a quiet desk."
 
@@ -40,6 +40,14 @@ def test_truncation_marks():
     assert examine("We offer a qui ...") == (CUT, "We offer a qui") and examine("We offer a qu… [leggi tutto]")[0] == CUT
     for text in ("Ends with an enti&nb", "Ends in a tag </", "<p>Closed.</p> <p>and more", "A broken byte �", "He said (and then"):
         assert examine(text)[0] == CUT, text
+    long_tag = 'See <a href="https://x.example/' + "a" * 150
+    for text in ("We offer (a salary. And a car and", 'He said: "', "( a ]", "A text â€", long_tag, "An escape \\ud83d", "x" * 300 + " (and " + "y" * 300 + ". Then"):
+        assert examine(text)[0] == CUT, text
+    for text in ("a) one b) two c) three.", 'He said "yes".', "„Quote“ ends.", "“Quote” ends.", 'A 5" pipe.', "A («b») c."):
+        assert examine(text)[0] == WHOLE, text
+    assert examine("x < y and z")[0] == OPEN
+    assert key_words("one two " + "w" * 200 + " !") == ("one", "two", "w" * 200) and start_words("A" * 100 + " b c d") == "a" * 100 + " b c"
+    assert ends_in_furniture("We plan.\nSimilar jobs\n" + "\n".join(f"Planner {i} – Town" for i in range(40))) and not ends_in_furniture("We plan.\nPlanner – Town")
     assert examine("and so on…")[0] == DOTTED and examine("No mark at all")[0] == OPEN
 
 
