@@ -7,8 +7,10 @@ domain of n shingles has the domain's minimum under a random permutation with pr
 each size partition uses as many permutations as its upper bound needs for the chosen miss rate. A domain and an item
 that share a minimum are a candidate pair, which the exact test on whole windows of `run` words then decides.
 
-The items are a stated query set: they are taken in blocks of bounded size, each block's index is broadcast, and every
-document passes it without a shuffle.
+The items are a stated query set: they are taken in blocks of bounded size, each block is broadcast, and every document passes
+it without a shuffle; a worker builds the index of a block once. The blocks of one pass together hold PASS_WORDS words at most;
+more items are searched pass by pass, each of which is written and released before the next, so that what the driver and the
+workers hold does not grow with the items.
 """
 
 from __future__ import annotations
@@ -18,19 +20,24 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import reduce
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobsieve.session import write_once
+
 WORD = re.compile(r"[^\W_]+")
 #: Upper bounds of the size partitions, in shingles.
 SIZES = (8, 16, 32, 64)
 #: Chance to miss a single contained window of exactly `run` words.
 MISS = 1e-6
-#: Words of items in one broadcast block.
-BLOCK_WORDS = 500_000
+#: Words of items in one broadcast block, and in all blocks of one pass.
+BLOCK_WORDS, PASS_WORDS = 500_000, 4_000_000
+#: Indexes that a worker keeps.
+KEPT = 4
 
 
 def words(text: str | None) -> list[str]:
@@ -166,7 +173,35 @@ class ItemIndex:
         return found
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "item_text", run: int = 12, shingle: int = 5, block_words: int = BLOCK_WORDS) -> DataFrame:
+_indexes: dict[tuple, ItemIndex] = {}
+
+
+def index_of(name: str, block: list[tuple[int, str]], k: int, run: int) -> ItemIndex:
+    """The index of a block, built once by each worker process."""
+    at = (name, k, run)
+    found = _indexes.get(at)
+    if found is None:
+        while len(_indexes) >= KEPT:
+            _indexes.pop(next(iter(_indexes)))
+        found = _indexes[at] = ItemIndex(block, k, run)
+    return found
+
+
+def blocks_of(items: DataFrame, item_col: str, text_col: str, words_each: int) -> Iterator[list[tuple[int, str]]]:
+    """The items with text in blocks of so many words, or of one item that is longer; one partition of them is fetched at a time."""
+    block: list[tuple[int, str]] = []
+    size = 0
+    for row in items.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null").toLocalIterator():
+        block.append((row.i, row.t))
+        size += row.t.count(" ") + 1
+        if size >= words_each:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "item_text", run: int = 12, shingle: int = 5, block_words: int = BLOCK_WORDS, pass_words: int = PASS_WORDS) -> DataFrame:
     """Distinct (id_col, item_col): the document holds at least `run` consecutive words of the item.
 
     Items of fewer than `run` words, null and empty texts match nothing; items that repeat text all match; very long
@@ -175,31 +210,33 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     context = docs.sparkSession.sparkContext
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
 
-    def passed(block: list[tuple[int, str]]) -> DataFrame:
-        index = context.broadcast(block)
+    def searched(blocks: list[list[tuple[int, str]]]) -> tuple[DataFrame, list]:
+        shared = [(uuid4().hex, context.broadcast(b)) for b in blocks]
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = ItemIndex(index.value, shingle, run)
             for batch in batches:
                 for start in range(0, batch.num_rows, 1000):
                     part = batch.slice(start, 1000)
-                    ids = part.column(0).to_pylist()
-                    found = {(ids[row], item) for row, item in own.matches(part.column(1).to_pylist())}
+                    ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+                    found = {(ids[row], item) for name, block in shared for row, item in index_of(name, block.value, shingle, run).matches(texts)}
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["id", "item"])
 
-        return source.mapInArrow(search, "id long, item long")
-
-    passes, block, size = [], [], 0
-    for row in items.select(items[item_col].alias("i"), items[item_text_col].alias("t")).where("i is not null and t is not null").toLocalIterator():
-        block.append((row.i, row.t))
-        size += len(row.t) // 4
-        if size >= block_words:
-            passes.append(passed(block))
-            block, size = [], 0
-    if block or not passes:
-        passes.append(passed(block))
+        return source.mapInArrow(search, "id long, item long"), [b for _, b in shared]
+
+    done: list[DataFrame] = []
+    waiting: list[list[tuple[int, str]]] = []
+    per_pass = max(1, pass_words // block_words)
+    for block in blocks_of(items, item_col, item_text_col, block_words):
+        if len(waiting) == per_pass:
+            found, sent = searched(waiting)
+            done.append(write_once(found))
+            for b in sent:
+                b.destroy()
+            waiting = []
+        waiting.append(block)
+    done.append(searched(waiting)[0])
     kind = items.schema[item_col].dataType
-    return reduce(DataFrame.union, passes).distinct().select(F.col("id").alias(id_col), F.col("item").cast(kind).alias(item_col))
+    return reduce(DataFrame.union, done).distinct().select(F.col("id").alias(id_col), F.col("item").cast(kind).alias(item_col))
 
 
 def leak_report(leaks: DataFrame, items: DataFrame, item_col: str = "item_id") -> DataFrame:

@@ -35,6 +35,8 @@ def test_against_brute_force(spark):
     got = {(r.doc_id, r.item_id) for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, item_text string"), block_words=300).collect()}
     expected = brute(docs, items)
     assert got == expected and len(expected) > 50
+    several = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, item_text string"), block_words=200, pass_words=400)
+    assert {(r.doc_id, r.item_id) for r in several.collect()} == expected  # pass by pass
 
 
 def test_edges_and_report(spark):

@@ -171,4 +171,10 @@ def test_canonical(spark):
     for i, (value, expected) in enumerate(kinds.items()):
         assert got.get((100 + i, "job_type")) == expected, value
     assert map_to_references(df.where("false"), places, types).count() == 0
+    from jobsieve.llm.canonical import map_values, reference_names
+
+    names = reference_names(places, types)
+    rows_of = lambda frame: {tuple(r) for r in frame.collect()}
+    assert rows_of(map_values(df, names, sent_names=0)) == rows_of(map_values(df, names))  # joined instead of sent
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("jobsieve_")]
     assert {r.ref_id for r in map_to_references(df, places.where("false"), types.where("false")).collect()} == {-1}
