@@ -11,13 +11,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
+from uuid import uuid4
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobsieve.session import cut_lineage
+from jobsieve.session import finished, write_once
 
 EPOCH = datetime(1970, 1, 1)
 #: Fixed offsets, in hours, of zone abbreviations; those with several meanings are settled by the source's zone below.
@@ -140,34 +140,50 @@ def parse(raw: str | None, day_order: str | None = None, source_zone: str | None
     return None
 
 
+ENTRY = ["raw", "source", "day_order", "time_zone"]
+#: A value with this share of all rows is a hot key of the join back to the rows; there are at most 1 / HOT of them. The rows
+#: of each are spread over SALTS tasks.
+HOT, SALTS = 1e-4, 64
+
+
 def parse_distinct(values: DataFrame) -> DataFrame:
-    """(raw, source, kind, micros) for distinct (raw, source, day_order, time_zone); kind is null where nothing is named."""
+    """ENTRY with kind and micros for distinct ENTRY rows; kind is null where nothing is named."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, order, zone = (batch.column(i).to_pylist() for i in (0, 2, 3))
             found = [parse(r, o, z) or (None, None) for r, o, z in zip(raw, order, zone)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int64())], ["raw", "source", "kind", "micros"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int64())], [*ENTRY, "kind", "micros"])
 
-    return values.select("raw", "source", "day_order", "time_zone").mapInArrow(run, "raw string, source string, kind string, micros long")
+    return values.select(*ENTRY).mapInArrow(run, "raw string, source string, day_order string, time_zone string, kind string, micros long")
 
 
-def dictionary(df: DataFrame, zones: DataFrame, raw_col: str, source_col: str, path: str | None = None) -> DataFrame:
-    """The parsed dictionary of df's distinct values; with a path, the kept dictionary extended by the values it lacks."""
-    values = df.select(F.col(raw_col).alias("raw"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source")).where("raw is not null and trim(raw) <> ''").distinct()
-    known = None
-    if path is not None:
-        try:
-            known = df.sparkSession.read.parquet(path)
-        except AnalysisException:
-            known = None
-    if known is not None:
-        values = values.join(known.select("raw", "source"), ["raw", "source"], "left_anti")
-    fresh = cut_lineage(parse_distinct(values.join(F.broadcast(zones), "source", "left")))
+def value_counts(df: DataFrame, raw_col: str, source_col: str) -> DataFrame:
+    """(raw, source, n) of the values that are not blank."""
+    return df.select(F.col(raw_col).alias("raw"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source")).where("raw is not null and trim(raw) <> ''").groupBy("raw", "source").agg(F.count("*").alias("n"))
+
+
+def dictionary(values: DataFrame, zones: DataFrame, path: str | None = None) -> DataFrame:
+    """The parsed entries of distinct (raw, source); with a path, from the dictionary kept there, extended by what it lacks.
+
+    A kept dictionary is a folder of parts. Each extension writes a part of its own, and only parts whose write has ended are
+    read, so that a failed or concurrent extension leaves no half and no double entries. Zone and order of the day are part
+    of an entry: a source that changes them is parsed anew.
+    """
+    wanted = values.select("raw", "source").join(F.broadcast(zones), "source", "left").select(*ENTRY)
     if path is None:
-        return fresh
-    fresh.write.mode("append").parquet(path)
-    return df.sparkSession.read.parquet(path)
+        return write_once(parse_distinct(wanted))
+    spark = values.sparkSession
+    parts = finished(spark, path)
+    kept = spark.read.parquet(*parts).dropDuplicates(ENTRY) if parts else None
+    if kept is not None:
+        old = kept.select(*[F.col(c).alias(f"k_{c}") for c in ENTRY])
+        same = (F.col("raw") == F.col("k_raw")) & (F.col("source") == F.col("k_source")) & F.col("day_order").eqNullSafe(F.col("k_day_order")) & F.col("time_zone").eqNullSafe(F.col("k_time_zone"))
+        wanted = wanted.join(old, same, "left_anti")
+    part = f"{path}/{uuid4().hex}"
+    parse_distinct(wanted).write.parquet(part)
+    fresh = spark.read.parquet(part)
+    return fresh if kept is None else kept.unionByName(fresh).dropDuplicates(ENTRY)
 
 
 def feed_zones(feeds: DataFrame) -> DataFrame:
@@ -184,11 +200,21 @@ def normalise_timestamps(df: DataFrame, feeds: DataFrame, id_col: str = "job_id"
     and open-ended values and words without a date give no row. Repeated rows give one row.
     """
     zones = feed_zones(feeds)
-    parsed = dictionary(df, zones, raw_col, source_col, path).where("kind is not null")
-    rows = df.select(F.col(id_col), F.col(raw_col).alias("raw"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col(reference_col).cast("timestamp_ntz").alias("reference")).where("raw is not null and trim(raw) <> ''")
+    with_id = F.col(id_col)
+    rows = df.select(with_id, F.col(raw_col).alias("raw"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col(reference_col).cast("timestamp_ntz").alias("reference")).where("raw is not null and trim(raw) <> ''")
+    values = write_once(value_counts(df, raw_col, source_col))
+    today = zones.select("source", F.col("day_order").alias("z_order"), F.col("time_zone").alias("z_zone"))
+    entries = dictionary(values, zones, path).where("kind is not null").join(F.broadcast(today), "source", "left")
+    entries = entries.where(F.col("day_order").eqNullSafe(F.col("z_order")) & F.col("time_zone").eqNullSafe(F.col("z_zone"))).select("raw", "source", "time_zone", "kind", "micros")
+    # Rows of frequent values are spread over SALTS tasks, to which the few entries of those values are copied.
+    total = values.agg(F.sum("n").alias("total"))
+    hot = values.join(F.broadcast(total)).where(F.col("n") >= F.greatest(F.lit(2.0), HOT * F.col("total"))).select("raw", "source", F.lit(True).alias("hot"))
+    salted = rows.join(F.broadcast(hot), ["raw", "source"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(with_id, "reference"), F.lit(SALTS))).otherwise(0).cast("int")).drop("hot")
+    copies = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    parsed = entries.join(F.broadcast(hot), ["raw", "source"], "left").withColumn("salt", F.explode(copies)).drop("hot")
     reference_us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', reference)")
     zone = F.coalesce("time_zone", F.lit("UTC"))
-    joined = rows.join(parsed, ["raw", "source"]).join(F.broadcast(zones.select("source", "time_zone")), "source", "left")
+    joined = salted.join(parsed, ["raw", "source", "salt"])
     utc = (
         F.when(F.col("kind") == "instant", F.col("micros"))
         .when(F.col("kind") == "wall", F.unix_micros(F.to_utc_timestamp(F.timestamp_micros("micros"), zone)))

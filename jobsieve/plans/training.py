@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobsieve.operators.timestamps import dictionary, feed_zones, normalise_timestamps
+from jobsieve.operators.timestamps import dictionary, feed_zones, normalise_timestamps, value_counts
+from jobsieve.session import shared_folder
 from jobsieve.tables import table
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return normalise_timestamps(table(spark, d, "jobs"), table(spark, d, "feeds"))
+    """Through the dictionary that is kept in the shared folder: values seen by an earlier run are not parsed again."""
+    return normalise_timestamps(table(spark, d, "jobs"), table(spark, d, "feeds"), path=f"{shared_folder(spark)}/jobsieve-timestamps")
 
 
 def p4_dictionary(spark: SparkSession, d: str) -> DataFrame:
     """How many distinct values each source writes in each kind of notation, the unreadable ones included."""
-    parsed = dictionary(table(spark, d, "jobs"), feed_zones(table(spark, d, "feeds")), "posted_date", "source")
+    parsed = dictionary(value_counts(table(spark, d, "jobs"), "posted_date", "source"), feed_zones(table(spark, d, "feeds")))
     return parsed.groupBy("source", F.coalesce("kind", F.lit("none")).alias("kind")).agg(F.count("*").alias("distinct_values"))
 
 

@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from jobsieve.operators.timestamps import dictionary, feed_zones, normalise_timestamps, parse, reference_instant
+from jobsieve.operators.timestamps import dictionary, feed_zones, normalise_timestamps, parse, reference_instant, value_counts
 
 SCHEMA = "job_id long, posted_date string, source string, scraped_at timestamp_ntz"
 NOW = datetime(2024, 5, 5, 12)
@@ -52,9 +52,24 @@ def test_dictionary_is_extended(spark, feeds, tmp_path):
     df = spark.createDataFrame([(1, "2024-01-01", "B", NOW), (2, "soon", "B", NOW)], SCHEMA)
     more = spark.createDataFrame([(3, "2024-01-01", "B", NOW), (4, "2024-02-02", "B", NOW)], SCHEMA)
     zones = feed_zones(feeds)
-    assert dictionary(df, zones, "posted_date", "source", path).count() == 2
-    assert dictionary(more, zones, "posted_date", "source", path).count() == 3
-    assert dictionary(more, zones, "posted_date", "source", path).count() == 3
+    kept = lambda frame, z=zones: dictionary(value_counts(frame, "posted_date", "source"), z, path)
+    assert kept(df).count() == 2
+    assert kept(more).count() == 3
+    assert kept(more).count() == 3
+    # A part that another writer left unfinished is not read, and one that holds the same entries doubles nothing.
+    (tmp_path / "dict" / "half").mkdir()
+    dictionary(value_counts(df, "posted_date", "source"), zones).write.parquet(f"{path}/other")
+    assert kept(more).count() == 3
+    # A source that moves to another zone is parsed anew, and only its present entries are used.
+    moved = feeds.withColumn("time_zone", F.lit("Asia/Tokyo"))
+    assert {r.utc_us for r in normalise_timestamps(more, moved, path=path).where("job_id = 3").collect()} == {us(2023, 12, 31, 15)}
+    assert {r.utc_us for r in normalise_timestamps(more, feeds, path=path).where("job_id = 3").collect()} == {us(2023, 12, 31, 23)}
+
+
+def test_frequent_values_are_spread(spark, feeds):
+    df = spark.createDataFrame([(i, "today" if i % 3 else f"{i} minutes ago", "B", NOW) for i in range(600)], SCHEMA)
+    got = {r.job_id: r.utc_us for r in normalise_timestamps(df, feeds).collect()}
+    assert len(got) == 600 and got[1] == us(2024, 5, 5, 12) and got[3] == got[1] - 3 * 60_000_000
 
 
 def test_parse_never_raises():
