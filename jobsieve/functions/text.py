@@ -37,16 +37,7 @@ def clean_company(name: Column) -> Column:
     return F.when(inner != "", F.trim(inner)).otherwise(text)
 
 
-def tokens(text: Column) -> Column:
-    """The runs of letters and digits of a text, in lower case."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-
-
 def first_match(text: Column, pattern: str) -> Column:
     """The first match of a pattern, null if none."""
     found = F.regexp_extract(F.coalesce(text, F.lit("")), pattern, 0)
     return F.when(found != "", found)
-
-
-def title_words(text: Column) -> Column:
-    return F.initcap(F.lower(text))

@@ -7,11 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row per key: the greatest by order; by max_by, so that a hot key is combined before the shuffle."""
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in df.columns if c not in keys]), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])).alias("r")).select(*keys, "r.*")
-
-
 def upsert(old: DataFrame, new: DataFrame, key: str, update: list[str], keep: list[str]) -> DataFrame:
     """Rows of new replace `update` columns of old rows with the same key; `keep` columns stay as first seen."""
     n = new.select(key, *[F.col(c).alias(f"n_{c}") for c in update + keep], F.lit(True).alias("incoming"))

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from jobsieve.functions import text as T
 from jobsieve.functions import urls as U
-from jobsieve.operators import quality, sections, similarity, skills
+from jobsieve.operators import similarity, skills
+from jobsieve.plans import duck
 from jobsieve.tables import table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 AS_OF = "2025-06-01"
-TRUSTED = ("jobhafen", "stellenfuchs", "workbeacon")
 PROFILE = "data quality team statistics reports user research project planning".split()
 VOCABULARY = {
     "statistics": ["statistics", "statistik", "statistique", "estadística", "statistica", "statistiek"], "databases": ["relational databases", "datenbankabfragen", "bases de données", "bases de datos", "basi di dati", "gegevensbanken"],
@@ -37,13 +37,8 @@ def _lit(words: tuple[str, ...] | list[str]) -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 
 
-# A URL in its normal form, as DuckDB writes it: the query's pairs without tracking keys, sorted.
 _SPLIT = U.SPLIT.replace("'", "''")
-NORMAL_URL = f"""
-CASE WHEN trim(coalesce(url, '')) = '' THEN '' ELSE
- lower(regexp_extract(trim(url), '{_SPLIT}', 1)) || '://' || lower(regexp_extract(trim(url), '{_SPLIT}', 2)) || coalesce(nullif(regexp_replace(regexp_extract(trim(url), '{_SPLIT}', 3), '/+$', ''), ''), '/')
- || CASE WHEN len(list_filter(string_split(regexp_extract(trim(url), '{_SPLIT}', 4), '&'), lambda p: contains(p, '=') AND NOT list_contains({_lit(U.TRACKING_KEYS)}, lower(split_part(p, '=', 1))) AND NOT starts_with(lower(p), 'utm_'))) = 0 THEN ''
-    ELSE '?' || array_to_string(list_sort(list_filter(string_split(regexp_extract(trim(url), '{_SPLIT}', 4), '&'), lambda p: contains(p, '=') AND NOT list_contains({_lit(U.TRACKING_KEYS)}, lower(split_part(p, '=', 1))) AND NOT starts_with(lower(p), 'utm_'))), '&') END END"""
+NORMAL_URL = duck.normal_url("url")
 
 
 @query(f"SELECT job_id, {NORMAL_URL} AS normal_url FROM jobs")
@@ -68,12 +63,6 @@ def people_page(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "jobs").select("job_id", U.is_people_page(F.col("url")).alias("people"))
 
 
-@query(rf"""
-SELECT job_id, regexp_matches(lower(trim(title)), '\bjobs and careers\b|^\d[\d,.+]*\s+.*\b(jobs?|stellen)\b') AS listing FROM jobs WHERE title IS NOT NULL""")
-def listing_page(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "jobs").where("title is not null").select("job_id", U.is_listing_page(F.trim("title"), F.lit("https://x.example/")).alias("listing"))
-
-
 _CLEAN = "trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
@@ -114,16 +103,6 @@ def recency(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "jobs").select("job_id", F.when(since(30), "recent").when(since(180), "older").otherwise("stale").alias("age"))
 
 
-@query()
-def quality_gate(spark: SparkSession, d: str) -> DataFrame:
-    return quality.assess(table(spark, d, "jobs"), TRUSTED, AS_OF)
-
-
-@query()
-def reject_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return quality_gate(spark, d).groupBy("reject_reason").agg(F.count("*").alias("n"))
-
-
 @query("""
 SELECT count(*) AS postings, round(avg(quality.score), 6) AS mean_score, CAST(sum(CASE WHEN quality.score >= 80 THEN 1 ELSE 0 END) AS BIGINT) AS high, CAST(sum(CASE WHEN quality.score >= 55 AND quality.score < 80 THEN 1 ELSE 0 END) AS BIGINT) AS medium,
 CAST(sum(CASE WHEN quality.score < 55 OR quality.score IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS low, CAST(sum(CASE WHEN quality.url_status IN ('alive', 'redirected') THEN 1 ELSE 0 END) AS BIGINT) AS reachable FROM jobs""")
@@ -198,21 +177,6 @@ def fuzzy_dedup(spark: SparkSession, d: str) -> DataFrame:
     return similarity.fuzzy_dedup(table(spark, d, "jobs"))
 
 
-@query()
-def document_sections(spark: SparkSession, d: str) -> DataFrame:
-    return sections.split_sections(table(spark, d, "documents"), "doc_id", "text")
-
-
-@query(r"""
-SELECT doc_id, CASE WHEN n = 0 THEN 0 WHEN n < 200 THEN 3 WHEN n < 500 THEN 6 ELSE 10 END AS text_score, CASE WHEN mail THEN 10 ELSE 0 END AS contact_score,
-CASE WHEN odd = 0 THEN 10 WHEN odd <= 3 THEN 7 ELSE 4 END AS character_score FROM (
- SELECT doc_id, length(trim(coalesce(text, ''), chr(32))) AS n, regexp_matches(coalesce(text, ''), '[\w.+-]+@[\w-]+\.[\w.-]+') AS mail, len(list_distinct(regexp_extract_all(coalesce(text, ''), '[☎✉★►▪“”]'))) AS odd FROM documents)""")
-def readability_checks(spark: SparkSession, d: str) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    n, odd = F.length(F.trim(text)), F.size(F.array_distinct(F.regexp_extract_all(text, F.lit("([☎✉★►▪“”])"), F.lit(1))))
-    return table(spark, d, "documents").select("doc_id", F.when(n == 0, 0).when(n < 200, 3).when(n < 500, 6).otherwise(10).alias("text_score"), F.when(text.rlike(_MAIL), 10).otherwise(0).alias("contact_score"), F.when(odd == 0, 10).when(odd <= 3, 7).otherwise(4).alias("character_score"))
-
-
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def hourly_events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(F.window("ts", "1 hour")["start"].alias("start"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from jobsieve.operators import similarity, store
 from jobsieve.operators.asof import last_before
-from jobsieve.operators.sections import split_sections
 from jobsieve.streaming.breaker import Breaker, fold, fold_stream, run
 
 
@@ -87,10 +86,43 @@ def test_last_before_against_merge_asof(spark):
     assert key(got) == key(expected)
 
 
-def test_sections(spark):
-    df = spark.createDataFrame([(1, "Ann\nExperience\na\nb\nSkills:\nc"), (2, None), (3, "")], "id long, text string")
-    got = {(r.id, r.section): r.lines for r in split_sections(df, "id", "text").collect()}
-    assert got == {(1, "header"): 1, (1, "experience"): 2, (1, "skills"): 1, (2, "header"): 1, (3, "header"): 1}
+def sections_of(text, headings):
+    """The same by a plain loop."""
+    import re
+
+    out, current, lines = {}, "header", []
+    for line in (text or "").split("\n"):
+        key = re.sub(r"[^a-z\s&]", "", line.strip().lower()).strip()
+        found = next((h for h in headings if key.startswith(h)), None)
+        if found is None:
+            lines.append(line)
+            continue
+        if lines:
+            out[current] = "\n".join(lines).strip()
+        current, lines = found, []
+    if lines:
+        out[current] = "\n".join(lines).strip()
+    return out
+
+
+def test_sections_against_a_plain_loop(spark, monkeypatch):
+    import random
+
+    from jobsieve.operators import sections
+
+    monkeypatch.setattr(sections, "BLOCK", 7)  # texts of several blocks
+    rng = random.Random(5)
+    words = ["Experience", "Skills:", "work experience 2020", "Projects", "* Education & more", "Ann", "b c", "", "  x  ", "Hobbies"]
+    texts = {1: "Ann\nExperience\na\nb\nSkills:\nc\nExperience\nlater", 2: None, 3: "", 4: "Skills", 5: "Skills\nExperience\n\n"}
+    texts |= {10 + i: "\n".join(rng.choice(words) for _ in range(rng.randrange(60))) for i in range(40)}
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()] + [(1, texts[1])], "id long, text string")
+    got: dict = {}
+    for r in sections.split_sections(df, "id", "text").collect():
+        assert (r.id, r.section) not in got
+        got[r.id, r.section] = r.content
+    assert got == {(i, k): v for i, t in texts.items() for k, v in sections_of(t, sections.HEADINGS).items()}
+    assert got[1, "experience"] == "later"  # a heading that comes again replaces what stood under it
+    assert sections.split_sections(df.where("false"), "id", "text").count() == 0
 
 
 def test_breaker_opens_probes_and_closes():
