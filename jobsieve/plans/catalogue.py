@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobsieve.plans import documents, gate, relational, streams, texts, training
+from jobsieve.plans import display, documents, gate, relational, streams, texts, training
 
 FLAGSHIP = "dedup_best_url"
-MODULES = (relational, texts, gate, documents, streams, training)
+MODULES = (relational, texts, gate, documents, display, streams, training)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
