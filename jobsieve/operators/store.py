@@ -42,3 +42,53 @@ def with_fallback(primary: DataFrame, fallback: DataFrame) -> DataFrame:
     """The primary rows, or the fallback rows if there are no primary ones, in one lazy plan."""
     both = primary.withColumn("_p", F.lit(0)).unionByName(fallback.withColumn("_p", F.lit(1)))
     return both.join(F.broadcast(both.agg(F.min("_p").alias("_p"))), "_p").drop("_p")
+
+
+def change_status(df: DataFrame, condition: Column, status: str, now: Column, applied: str = "applied") -> DataFrame:
+    """Rows that meet the condition get the status and the time of the change; applied_at is set with the status `applied` only."""
+    hit = F.coalesce(condition, F.lit(False))
+    applied_at = F.when(hit, now).otherwise(F.col("applied_at")) if status == applied else F.col("applied_at")
+    return df.withColumns({"status": F.when(hit, F.lit(status)).otherwise(F.col("status")), "applied_at": applied_at, "updated_at": F.when(hit, now).otherwise(F.col("updated_at"))})
+
+
+def replace_group(old: DataFrame, new: DataFrame, group: str, values: list) -> DataFrame:
+    """old without the rows of these groups, and the new rows in their place."""
+    return old.where(~F.coalesce(F.col(group).isin(*values), F.lit(False))).unionByName(new)
+
+
+def merge_columns(old: DataFrame, change: DataFrame, key: str) -> DataFrame:
+    """old with the columns that the change has set for its keys, and rows for keys that old lacks."""
+    given = [c for c in change.columns if c != key]
+    c = change.select(key, *[F.col(x).alias(f"n_{x}") for x in given], F.lit(True).alias("_new"))
+    both = old.join(c, key, "full_outer")
+    return both.select(key, *[F.when(F.col("_new"), F.col(f"n_{x}")).otherwise(F.col(x)).alias(x) if x in given else F.col(x) for x in old.columns if x != key])
+
+
+def seen_again(old: DataFrame, new: DataFrame, key: str, update: list[str], now: Column) -> DataFrame:
+    """The stored rows after a new sight of some: those are active, updated and seen now; first_seen_at stays as it was."""
+    n = new.select(key, *[F.col(c).alias(f"n_{c}") for c in update], F.lit(True).alias("_new"))
+    hit = F.coalesce("_new", F.lit(False))
+    both = old.join(n, key, "full_outer")
+    return both.select(key, *[F.when(hit, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in update], F.coalesce("first_seen_at", now).alias("first_seen_at"), F.when(hit, now).otherwise(F.col("last_seen_at")).alias("last_seen_at"), (hit | F.coalesce("active", F.lit(False))).alias("active"))
+
+
+def renamed(df: DataFrame, keep: list[str], names: dict[str, str]) -> DataFrame:
+    """The kept columns and those of the list under their new names; columns that df lacks are left out."""
+    return df.select(*keep, *[F.col(old).alias(new) for old, new in names.items() if old in df.columns])
+
+
+def as_list(text: Column) -> Column:
+    """A list written as a JSON array or with commas, trimmed, without empty items; empty for null."""
+    plain = F.coalesce(text, F.lit(""))
+    items = F.coalesce(F.from_json(F.when(plain.rlike(r"^\s*\["), plain), "array<string>"), F.split(plain, ","))
+    return F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
+
+
+def changed(now: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys (a name and a digest of the content) the cache does not have."""
+    return now.join(cache.select(*keys).distinct(), keys, "left_anti")
+
+
+def still_valid(stored_at: Column, now: Column, hours: int) -> Column:
+    """Whether a cache of this age may be used; false without a time."""
+    return F.coalesce(now - stored_at < F.expr(f"INTERVAL {hours} HOURS"), F.lit(False))

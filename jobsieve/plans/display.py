@@ -15,7 +15,7 @@ from jobsieve.tables import table
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 MARKERS = ("thesis", "masterarbeit", "bachelorarbeit", "abschlussarbeit", "tesi", "werkstudent")
-SKILLS = {"statistics": "data", "databases": "data", "scripting": "engineering", "network security": "engineering", "project planning": "", "cost accounting": "finance"}
+SKILLS = {"datenqualität": "data", "data quality": "data", "testautomatisierung": "engineering", "test automation": "engineering", "energieplanung": "", "lohnabrechnung": "finance", "payroll": "finance"}
 
 
 def query(sql: str | None = None):
@@ -76,16 +76,16 @@ def match_tiers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "jobs").select("job_id", label.alias("label"), F.when(s >= 75, "Very High").when(s >= 55, "High").when(s >= 35, "Medium").otherwise("Low").alias("confidence"))
 
 
-@query("SELECT job_id FROM jobs WHERE contains(lower(coalesce(title, '')), 'daten') OR contains(lower(coalesce(company, '')), 'daten') OR len(list_filter(coalesce(tags, []), lambda t: contains(lower(t), 'daten'))) > 0")
+@query("SELECT job_id FROM jobs WHERE contains(lower(coalesce(title, '')), 'lohn') OR contains(lower(coalesce(company, '')), 'lohn') OR len(list_filter(coalesce(tags, []), lambda t: contains(lower(t), 'lohn'))) > 0")
 def posting_search(spark: SparkSession, d: str) -> DataFrame:
-    has = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit("daten"))
+    has = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit("lohn"))
     return table(spark, d, "jobs").where(has(F.col("title")) | has(F.col("company")) | F.exists(F.coalesce("tags", F.array().cast("array<string>")), has)).select("job_id")
 
 
-@query("SELECT job_id, title FROM jobs WHERE contains(lower(coalesce(title, '') || ' ' || coalesce(company, '')), 'planer') AND contains(lower(coalesce(location, '')), 'berg')")
+@query("SELECT job_id, title FROM jobs WHERE contains(lower(coalesce(title, '') || ' ' || coalesce(company, '')), 'planer') AND contains(lower(coalesce(location, '')), 'en')")
 def report_search(spark: SparkSession, d: str) -> DataFrame:
     text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("company", F.lit(""))))
-    return table(spark, d, "jobs").where(text.contains("planer") & F.lower(F.coalesce("location", F.lit(""))).contains("berg")).select("job_id", "title")
+    return table(spark, d, "jobs").where(text.contains("planer") & F.lower(F.coalesce("location", F.lit(""))).contains("en")).select("job_id", "title")
 
 
 @query(f"""SELECT job_id, substring(coalesce(title, ''), 1, 65) AS title, substring(coalesce(company, ''), 1, 35) AS company, substring(coalesce(location, ''), 1, 25) AS location, coalesce(source, '') AS source, coalesce(nullif(posted_date, ''), 'N/A') AS posted_date,
@@ -225,7 +225,7 @@ def gap_bars(spark: SparkSession, d: str) -> DataFrame:
     return counts.select("tag", "n", F.least(F.lit(100), F.col("n") * 5).alias("width")).orderBy(F.desc("n"), "tag").limit(8)
 
 
-RELATED = (("databases", "sql"), ("scripting", "python"), ("statistics", "mathematics"), ("sql", "data"), ("python", "programming"))
+RELATED = (("lohnabrechnung", "finanzen"), ("payroll", "finance"), ("datenqualität", "daten"), ("daten", "informatik"), ("test automation", "testing"))
 _EDGES = "(VALUES " + ", ".join(f"({duck.text(a)}, {duck.text(b)})" for a, b in RELATED) + ") e(skill, parent)"
 
 
@@ -237,7 +237,7 @@ def skill_parents(spark: SparkSession, d: str) -> DataFrame:
     return own.unionByName(own.join(F.broadcast(edges), "skill").select("job_id", F.col("parent").alias("skill"))).distinct()
 
 
-ROLES = {"analyst": ("statistik", "statistics", "sql", "datenbankabfragen"), "planner": ("projektplanung", "project planning", "excel"), "engineer": ("python", "skriptsprachen", "netzwerktechnik", "messtechnik")}
+ROLES = {"analyst": ("datenqualität", "data quality", "statistics"), "planner": ("energieplanung", "energy planning", "einkauf", "purchasing"), "engineer": ("testautomatisierung", "test automation")}
 
 
 @query(" UNION ALL ".join(f"SELECT job_id, {duck.text(r)} AS role, round(len(list_intersect(list_transform(coalesce(tags, []), lambda t: lower(t)), {duck.texts(s)})) / {len(s)}.0::DOUBLE, 2) AS strength FROM jobs WHERE len(list_intersect(list_transform(coalesce(tags, []), lambda t: lower(t)), {duck.texts(s)})) > 0" for r, s in ROLES.items()))
