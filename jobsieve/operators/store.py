@@ -92,3 +92,17 @@ def changed(now: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
 def still_valid(stored_at: Column, now: Column, hours: int) -> Column:
     """Whether a cache of this age may be used; false without a time."""
     return F.coalesce(now - stored_at < F.expr(f"INTERVAL {hours} HOURS"), F.lit(False))
+
+
+def contained(texts: DataFrame, text: str, names: DataFrame, name: str, size: int = 3) -> DataFrame:
+    """The pairs of rows of which the text holds the name: an equality join over pieces of `size` letters, then the exact test.
+
+    Each name is looked for by one piece, its first letters; names shorter than a piece by all they have.
+    """
+    begun = names.withColumn("_k", F.substring(name, 1, size))
+    sizes = F.array(*[F.lit(k) for k in range(1, size + 1)])
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text)))
+    pieces = F.array_distinct(F.flatten(F.transform(sizes, lambda k: F.transform(starts, lambda i: F.substring(F.col(text), i, k)))))
+    lengths = begun.select(F.length("_k").alias("l")).distinct()
+    asked = texts.withColumn("_k", F.explode(pieces)).join(F.broadcast(lengths), F.length("_k") == F.col("l"), "left_semi")
+    return asked.join(begun, "_k").where(F.contains(text, name)).drop("_k")

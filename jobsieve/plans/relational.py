@@ -88,12 +88,10 @@ def or_key_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT place_name, count(j.job_id) AS jobs FROM ref_places p JOIN jobs j ON contains(lower(j.location), lower(p.place_name)) GROUP BY place_name")
 def place_contains_count(spark: SparkSession, d: str) -> DataFrame:
-    """Substring counts of a fixed list of places, tested inside each row; the list is checked to be small."""
-    names = [r[0] for r in table(spark, d, "ref_places").select("place_name").where("place_name is not null").distinct().limit(1001).collect()]
-    if len(names) > 1000:
-        raise ValueError("a list of over 1000 places needs a token join")
-    hit = F.filter(F.array(*[F.lit(n) for n in names]), lambda p: F.contains(F.lower("location"), F.lower(p)))
-    return table(spark, d, "jobs").select(F.explode(hit).alias("place_name")).groupBy("place_name").agg(F.count("*").alias("jobs"))
+    """How many locations hold a place's name anywhere: distinct locations and names meet by three letters in common, then the whole name is looked for."""
+    names = table(spark, d, "ref_places").select("place_name").where("place_name <> ''").distinct()
+    places = table(spark, d, "jobs").where("location is not null").groupBy(F.lower("location").alias("text")).agg(F.count("*").alias("n"))
+    return store.contained(places, "text", names.withColumn("name", F.lower("place_name")), "name").groupBy("place_name").agg(F.sum("n").alias("jobs"))
 
 
 @query("SELECT split_part(split_part(source, '→', 1), '->', 1) AS source_root, count(*) AS jobs FROM jobs GROUP BY 1")

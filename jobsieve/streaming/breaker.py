@@ -11,7 +11,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OUT = "engine string, ts timestamp_ntz, call_kind string, allowed boolean, state string, blocked_until double"
@@ -66,7 +67,29 @@ def useful(calls: DataFrame) -> DataFrame:
 
 
 def fold(calls: DataFrame, **settings) -> DataFrame:
-    return useful(calls).groupBy("engine").applyInPandas(lambda pdf: run(pdf, Breaker(**settings)), OUT)
+    """Every call with what the breaker of its engine made of it. The calls of an engine pass one task in order, batch by batch: what is held is one breaker."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        engine, breaker = None, Breaker(**settings)
+        for batch in batches:
+            out = []
+            for e, kind, us in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+                if e != engine:
+                    engine, breaker = e, Breaker(**settings)
+                allowed = breaker.step(kind, us / 1e6)
+                out.append((allowed, breaker.state, float(breaker.until)))
+            columns = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.bool_(), pa.string(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["engine", "ts", "call_kind", "allowed", "state", "blocked_until"])
+
+    ordered = useful(calls).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).repartition("engine").sortWithinPartitions("engine", "ts", "call_kind")
+    return ordered.mapInArrow(step, OUT)
+
+
+def snapshot(folded: DataFrame, now: float) -> DataFrame:
+    """(engine, state, seconds_left) after the last call of every engine, at a time in seconds since 1970."""
+    last = folded.groupBy("engine").agg(F.max_by(F.struct("state", "blocked_until"), F.struct("ts", "call_kind")).alias("x"))
+    left = F.when(F.col("x.state") == "open", F.greatest(F.lit(0.0), F.col("x.blocked_until") - now)).otherwise(0.0)
+    return last.select("engine", F.col("x.state").alias("state"), left.alias("seconds_left"))
 
 
 def fold_stream(calls: DataFrame, **settings) -> DataFrame:
@@ -83,3 +106,12 @@ def fold_stream(calls: DataFrame, **settings) -> DataFrame:
         yield out
 
     return calls.where("engine is not null and ts is not null and call_kind in ('query', 'success', 'limit')").groupBy("engine").applyInPandasWithState(step, OUT, "state string, until double, limits int, probing boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+# Words of errors that say that an engine is asked too often.
+LIMIT_WORDS = ("429", "too many requests", "rate limit", "captcha", "quota", "unusual traffic")
+
+
+def is_limit(message: Column) -> Column:
+    """Whether an error says that an engine is asked too often; false for null."""
+    return F.coalesce(F.lower(message).rlike("|".join(LIMIT_WORDS)), F.lit(False))

@@ -1,7 +1,8 @@
+import os
 from datetime import datetime
 
 from jobsieve.sources import postings as P
-from jobsieve.streaming.ingest import Store, ingest, windowed_counts
+from jobsieve.streaming.ingest import Store, ingest, run_windows, windowed_counts
 
 
 def rows(df):
@@ -56,3 +57,46 @@ def test_ingest_merges_micro_batches(spark, tmp_path):
 def test_windowed_counts(spark):
     df = spark.createDataFrame([(datetime(2024, 1, 1, 1, 5), "a", 1.0), (datetime(2024, 1, 1, 1, 50), "a", 2.0), (datetime(2024, 1, 1, 2, 0), "a", 4.0)], "ts timestamp_ntz, kind string, value double")
     assert sorted((r.start.hour, r.n, r.total) for r in windowed_counts(df, "ts", "kind").collect()) == [(1, 2, 3.0), (2, 1, 4.0)]
+
+
+def test_late_rows_of_a_stream(spark, tmp_path):
+    schema = "ts timestamp_ntz, kind string, value double"
+    at = lambda day, hour: datetime(2024, 1, day, hour)
+    for name, own in (("a", [(at(1, 1), "a", 1.0)]), ("b", [(at(5, 1), "a", 2.0)]), ("c", [(at(5, 1), "a", 8.0)]), ("d", [(at(1, 1), "a", 4.0)])):  # a watermark drops rows from the second batch after it on
+        spark.createDataFrame(own, schema).coalesce(1).write.parquet(str(tmp_path / name))
+        (file,) = (tmp_path / name).glob("*.parquet")
+        (tmp_path / "in").mkdir(exist_ok=True)
+        os.utime(file, (1_700_000_000 + 100 * ord(name),) * 2)  # files are read in this order
+        file.rename(tmp_path / "in" / f"{name}.parquet")
+    landed = spark.read.parquet(str(tmp_path / "in")).schema
+    got = lambda late, folder: sorted((r.start.day, r.n, r.total) for r in run_windows(spark, str(tmp_path / "in"), landed, "ts", "kind", "1 hour", late, str(tmp_path / folder)).collect())
+    assert got("30 days", "wide") == [(1, 2, 5.0), (5, 2, 10.0)]
+    assert got("2 hours", "narrow") == [(1, 1, 1.0), (5, 2, 10.0)]  # four days late when it comes
+
+
+def test_more_payloads(spark):
+    one = lambda *r: spark.createDataFrame([r], "slug string, raw string")
+    (r,) = rows(P.epoch_board_json(one("acme-labs", '[{"text": "Dev", "hostedUrl": "u", "categories": {"location": "Town"}, "createdAt": 1714521600000}, {"text": "Again", "hostedUrl": "u"}, {"text": "", "hostedUrl": "v"}]'), "s"))
+    assert (r["title"], r["company"], r["posted_date"]) == ("Dev", "Acme Labs", "2024-05-01T00:00:00")
+    assert P.epoch_board_json(one("a", "broken"), "s").count() == 0
+    kept = P.sectioned_board_json(one("acme", '{"content": [{"name": "Dev", "ref": "u", "location": {"city": "Town", "country": "xy"}, "jobAd": {"sections": {"jobDescription": {"text": "a"}, "qualifications": {"text": "b"}}}}, {"name": "Cook", "ref": "v", "location": {"city": "City"}}]}'), "s", "Town", ["planner"])
+    (r,) = rows(kept)
+    assert (r["location"], r["description"], r["company"]) == ("Town, xy", "a\nb", "Acme")
+    (r,) = rows(P.agency_json(one("a", '{"stellenangebote": [{"titel": " Dev ", "arbeitgeber": "A", "arbeitsort": {"ort": "Town", "plz": "12345"}, "refnr": "7", "beruf": "Koch", "arbeitszeitmodelle": ["VZ", "TZ"]}, {"titel": "No address"}]}'), "s"))
+    assert (r["title"], r["location"], r["url"], r["description"]) == ("Dev", "12345 Town", "https://agency.example/jobs?id=7", "Beruf: Koch | Arbeitszeit: VZ, TZ")
+    (r,) = rows(P.remote_list_json(one("a", '[{"legal": "x"}, {"position": "Dev", "url": "/1", "epoch": 1714521600, "tags": ["a"]}]'), "s", "https://r.example"))
+    assert (r["url"], r["posted_date"], r["location"], r["tags"]) == ("https://r.example/1", "2024-05-01T00:00:00", "Remote", ["a"])
+    found = spark.createDataFrame([("Dev - team - Acme", "u", "s"), ("Dev", "v", None)], "title string, url string, snippet string")
+    assert [(r["title"], r["company"]) for r in rows(P.search_results(found, "s"))] == [("Dev - team", "Acme"), ("Dev", "")]
+    assert [r.loc for r in P.sitemap_index(spark.createDataFrame([("<sitemapindex><sitemap><loc> https://x.example/a?b=1&amp;c=2 </loc></sitemap></sitemapindex>",)], "raw string")).collect()] == ["https://x.example/a?b=1&c=2"]
+    places = spark.createDataFrame([("Munich area", True), (None, True), ("Remote", True), ("Berlin", False)], "p string, e boolean")
+    from pyspark.sql import functions as F
+
+    assert places.where(P.in_city(F.col("p"), "München") != F.col("e")).count() == 0
+
+
+def test_few_rows_call_for_the_fallback(spark):
+    df = spark.createDataFrame([(f"u{i}", f"t{i}") for i in range(4)], "url string, title string")
+    more = spark.createDataFrame([("u3", "other"), ("u9", "t9")], "url string, title string")
+    assert {(r.url, r.title) for r in P.with_few(df, more, 5).collect()} == {("u0", "t0"), ("u1", "t1"), ("u2", "t2"), ("u3", "t3"), ("u9", "t9")}
+    assert P.with_few(df, more, 4).count() == 4 and P.with_few(df.where("false"), more, 1).count() == 2
