@@ -57,7 +57,7 @@ _TEXT_CHECKS = {
 _LONG = " UNION ALL ".join(f"SELECT doc_id, '{name}' AS \"check\", {sql} AS score FROM documents" for name, sql in _TEXT_CHECKS.items())
 _OWN = "list_filter(s, lambda x: x <> 'header')"
 _STANDARD = f"list_filter({_OWN}, lambda x: list_contains({duck.texts(C.STANDARD_SECTIONS)}, x))"
-_HEADINGS = f"SELECT doc_id, 'headings' AS \"check\", CASE WHEN len({_OWN}) = 0 THEN 3 WHEN len({_STANDARD}) = len({_OWN}) THEN 10 ELSE greatest(3, CAST(floor(len({_STANDARD}) / len({_OWN})::DOUBLE * 10) AS INT)) END AS score FROM (SELECT doc_id, list(section) AS s FROM d GROUP BY doc_id)"
+_HEADINGS = f"SELECT doc_id, 'headings' AS \"check\", CASE WHEN len({_OWN}) = 0 THEN 3 WHEN len({_STANDARD}) = len({_OWN}) THEN 10 ELSE greatest(3, CAST(floor(len({_STANDARD}) / len({_OWN})::DOUBLE * 10) AS INT)) END AS score FROM (SELECT doc_id, coalesce(list(section) FILTER (section IS NOT NULL), []) AS s FROM documents LEFT JOIN d USING (doc_id) GROUP BY doc_id)"
 _ALL_CHECKS = f"{_SECTIONS}, x AS ({_LONG} UNION ALL {_HEADINGS}), y AS (SELECT *, {_status_sql('score')} AS status FROM x)"
 
 
@@ -65,7 +65,8 @@ _ALL_CHECKS = f"{_SECTIONS}, x AS ({_LONG} UNION ALL {_HEADINGS}), y AS (SELECT
 def document_checks(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     sections = split_sections(docs, "doc_id", "text").groupBy("doc_id").agg(F.collect_set("section").alias("sections"))
-    return C.long_form(docs.join(sections, "doc_id"), "doc_id", C.text_checks(F.col("text"), F.col("sections")))
+    own = F.coalesce("sections", F.array().cast("array<string>"))  # a text of headings alone has no section
+    return C.long_form(docs.join(sections, "doc_id", "left"), "doc_id", C.text_checks(F.col("text"), own))
 
 
 @query(

@@ -34,8 +34,8 @@ def board_json(raw: DataFrame, source: str, col: str = "raw", types: list[str] |
     """{"data": [{title, company_name, location, url, description, created_at, tags, remote, salary_min, salary_max}]}; rows without title or URL are dropped."""
     item = "struct<title:string,company_name:string,location:string,url:string,description:string,created_at:string,tags:array<string>,salary_min:double,salary_max:double>"
     rows = raw.select(F.explode(F.from_json(col, f"struct<data:array<{item}>>")["data"]).alias("r")).select("r.*").where("title <> '' and url <> ''")
-    text = F.concat_ws(" ", "title", "description")
-    return _shape(rows, source, title=clean_text(F.col("title")), company=F.col("company_name"), location=F.col("location"), url=F.col("url"), description=clean_text(F.col("description")), posted_date=F.col("created_at"), tags=F.slice(F.coalesce("tags", F.array().cast("array<string>")), 1, 10), salary=salary_text(F.col("salary_min"), F.col("salary_max")), job_type=first_type(text, types or []) if types else F.lit(None).cast("string"))
+    rows = rows.withColumn("_text", F.concat_ws(" ", "title", "description"))  # a lambda in the same projection would see the cleaned title
+    return _shape(rows, source, title=clean_text(F.col("title")), company=F.col("company_name"), location=F.col("location"), url=F.col("url"), description=clean_text(F.col("description")), posted_date=F.col("created_at"), tags=F.slice(F.coalesce("tags", F.array().cast("array<string>")), 1, 10), salary=salary_text(F.col("salary_min"), F.col("salary_max")), job_type=first_type(F.col("_text"), types or []) if types else F.lit(None).cast("string"))
 
 
 def feed_xml(raw: DataFrame, source: str, col: str = "raw") -> DataFrame:
