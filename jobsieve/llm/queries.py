@@ -131,5 +131,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
 
+_WINDOWS = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, regexp_extract_all(lower(nfc_normalize(item_text)), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE item_text IS NOT NULL),
+dw AS (SELECT DISTINCT doc_id, md5(array_to_string(w[k:k + 11], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)), iw AS (SELECT DISTINCT item_id, md5(array_to_string(w[k:k + 11], ' ')) AS h FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i)),
+leaks AS (SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (h))"""
+_LINES = r"""
+WITH j AS (SELECT row_number() OVER () AS r, regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#:\s]+)', 1)), '^www\.', '') AS host, description FROM jobs),
+l AS (SELECT DISTINCT r, host, trim(regexp_replace(regexp_replace(lower(regexp_replace(line, '(?i)</?(?:p|li|ul|ol|br|div|b|i|em|strong|h\d)\b[^<>]*>', ' ', 'g')), '\s+', ' ', 'g'), '\d[\da-f]*', '0', 'g')) AS line FROM (SELECT r, host, unnest(string_split(coalesce(description, ''), chr(10))) AS line FROM j)),
+n AS (SELECT host, line, count(*) AS n FROM l WHERE line <> '' GROUP BY ALL), m AS (SELECT host, count(*) AS records FROM j GROUP BY host)
+SELECT host, line, n, records FROM n JOIN m USING (host) WHERE n > 1 AND n >= 0.05 * (records + 20)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the problems that have a plain definition; the others are tested against brute force and planted cases."""
+    return {
+        "p9_found": _WINDOWS + " SELECT doc_id, item_id FROM leaks",
+        "p9_report": _WINDOWS + " SELECT item_id, count(doc_id) AS documents FROM (SELECT DISTINCT item_id FROM eval_items) LEFT JOIN leaks USING (item_id) GROUP BY item_id",
+        "p5_boilerplate": _LINES,
+    }
