@@ -3,7 +3,7 @@
 A site style tree over the lines of same-host pages. The distinct pages of a host are merged: every line is a content node of its
 host (the line in normal form) below a presentation node (the form of the line: its length, separators, marks at its ends).
 A content node found on n of a host's m pages has the entropy log n / log m over the pages, in base m, and the importance
-1 minus that. The importance of a branch is composed of the node's own and of the nodes on both sides of it: site furniture
+1 minus that (on more than BASE pages 1 + log(n / m) / log BASE, which keeps what a share of the pages means). The importance of a branch is composed of the node's own and of the nodes on both sides of it: site furniture
 stands among nodes that recur or have the form of furniture, while a heading of the posting recurs just as much, but its
 branch continues into lines that are found once. Presentation nodes have the importance that their lines have on average,
 first on their own host, then on all hosts, so that lines with ever new content (teasers, breadcrumbs) and small hosts are
@@ -34,6 +34,8 @@ THRESHOLD, STEEPNESS, LISTED = 0.45, 14.0, 5.5
 #: Share of the form, against the entropy, in what a line tells its neighbours; share of the form in a presentation node;
 #: share of the sides, against the node itself, in a content node.
 FORM_TOLD, FORM_OWN, SIDES = 0.6, 0.5, 0.5
+#: Pages from which on a node's entropy depends on the share of the pages that have it alone, and not on their number as well.
+BASE = 1000.0
 #: Pages that the presentation node counts for beside a content node's own, and all hosts beside one host.
 CONTENT_PRIOR, HOST_PRIOR = 2.0, 20.0
 #: What a side without neighbours is taken for.
@@ -273,7 +275,7 @@ class Tree:
         lines[hosts] = False
         self.node, self.n = node[lines], np.nan_to_num(n[lines], nan=1.0)
         m = np.maximum(np.nan_to_num(n[hosts], nan=1.0), 2.0)[self.page]
-        self.entropy = np.minimum(1.0, np.log(self.n) / np.log(m)) if len(self.n) else self.n
+        self.entropy = np.clip(1 + np.log(self.n / m) / np.log(np.minimum(m, BASE)), 0.0, 1.0)
         self.told = TOLD[self.form]
         own = FORM_TOLD * self.told + (1 - FORM_TOLD) * self.entropy
         first = np.concatenate([[True], self.page[1:] != self.page[:-1]]) if len(self.page) else np.zeros(0, dtype=bool)
