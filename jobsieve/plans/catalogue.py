@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobsieve.plans import changes, display, documents, gate, landed, relational, streams, texts, training
+from jobsieve.plans import changes, display, documents, gate, landed, levels, relational, streams, texts, training
 
 FLAGSHIP = "dedup_best_url"
-MODULES = (relational, texts, gate, documents, display, landed, changes, streams, training)
+MODULES = (relational, texts, gate, documents, display, landed, changes, levels, streams, training)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -134,3 +134,23 @@ def test_document_checks(spark):
     got = {(r.id, r.check): r.score for r in C.long_form(files, "id", C.file_checks(*[F.col(c) for c in "itfzplr"])).collect()}
     assert [got[1, k] for k in ("images", "tables", "fonts", "size", "pages", "links", "readable")] == [10] * 7
     assert [got[2, k] for k in ("images", "tables", "fonts", "size", "pages", "links", "readable")] == [2, 3, 4, 2, 3, 7, 0] and got[3, "fonts"] == 5 and got[3, "links"] == 7
+
+
+def test_levels_and_pages(spark):
+    from jobsieve.functions import levels as L
+    from jobsieve.operators.pages import html_main_text, main_text
+
+    cases = [
+        ("5+ years of experience", "mid", 5, 0, "unknown", ""), ("2-8 years experience", "senior", 2, 8, "unknown", ""), ("Senior role", "senior", 0, 0, "unknown", ""), ("senior junior", "entry", 0, 0, "unknown", ""), ("Mid-level, M.Sc. wanted", "mid", 0, 0, "master_completed", ""),
+        ("Deutsch C1, Masterstudent", "unknown", 0, 0, "master_current", "C1"), ("fließend Deutsch", "unknown", 0, 0, "unknown", "C1"), ("sehr gute Deutschkenntnisse", "unknown", 0, 0, "unknown", "B2"), ("gute Deutschkenntnisse, PhD", "unknown", 0, 0, "phd", "B1"), ("German is a plus", "unknown", 0, 0, "unknown", "preferred"),
+        ("und " * 11, "unknown", 0, 0, "unknown", "B1"), (None, "unknown", 0, 0, "unknown", ""), ("x" * 5000 + " Deutsch B2", "unknown", 0, 0, "unknown", "B2"),
+    ]
+    df = spark.createDataFrame(cases, "t string, l string, lo int, hi int, e string, g string").select("*", L.experience_level(F.col("t")).alias("x"), L.education_level(F.col("t")).alias("y"), L.german_requirement(F.col("t")).alias("z"))
+    assert [(r.t[:30] if r.t else None) for r in df.where("x.level <> l or x.min_years <> lo or x.max_years <> hi or y <> e or z <> g").collect()] == []
+    assert spark.createDataFrame([("„a” – b $ | $ c $\\cdot$",)], "t string").select(L.typeset(F.col("t"))).first()[0] == '„a" - b \\textbar{} c \\textperiodcentered{}'
+    body = "word " * 60
+    page = f"<html><nav>Menu</nav><div class='x job-description'>short</div><article><p>{body}</p><script>no</script></article><footer>Imprint</footer></html>"
+    assert main_text(page) == body.strip()
+    assert main_text(f"<body><div id='a'>x</div>{body}<br>&amp; more") == "x " + body.strip() + " & more"
+    assert main_text("<p>too short</p>") is None and main_text("") is None and main_text(None) is None and main_text("<<<>>" * 10) is None
+    assert [r[0] for r in spark.createDataFrame([(page,), (None,), ("x",)], "h string").select(html_main_text(F.col("h"))).collect()] == [body.strip(), None, None]
