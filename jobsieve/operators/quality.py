@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import operator
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobsieve.functions.dates import posted_date
-from jobsieve.functions.text import clean_company, clean_text, contains_any
-from jobsieve.functions.urls import is_board_detail, is_listing_page, is_people_page, normalize_url
+from jobsieve.functions.text import clean_company, clean_text, holds_any
+from jobsieve.functions.urls import Parts, is_board_detail, is_listing_page, is_people_page, normalize_url
 
 # Words whose presence decides a rule.
 GENERIC_COMPANIES = ("company", "employer", "hiring team", "job board", "recruiting team", "unknown", "web")
@@ -54,22 +56,24 @@ def assess(df: DataFrame, rules: Rules, as_of: str, stage: str = "final") -> Dat
         "job_id", clean_text(F.col("title")).alias("title"), clean_company(F.col("company")).alias("company"), clean_text(F.col("location")).alias("location"), clean_text(F.col("description")).alias("description"),
         F.lower(clean_text(F.col("source"))).alias("source"), normalize_url(F.col("url")).alias("url"), posted_date(F.col("posted_date"), now).alias("posted"),
     )
-    url, size = F.lower("url"), F.length("title")
-    c = c.withColumns({"lower_url": url, "trusted": contains_any(F.col("source"), rules.trusted) if rules.trusted else F.lit(False)})
-    low = F.col("lower_url")
+    url, size = F.col("url"), F.length("title")
+    c = c.withColumns({"low_url": F.lower("url"), "low_title": F.lower("title"), "low_text": F.lower("description"), "trusted": holds_any(F.col("source"), rules.trusted), **Parts.of(url).named()})
+    low, parts = F.col("low_url"), Parts.columns(url)
+    # A condition that never holds keeps the optimizer from copying this expression into filters above, each copy with the cleaning below it.
+    kept = F.spark_partition_id() < 0
     reason = (
-        F.when(~F.col("url").rlike("^https?://"), "invalid_url").when(contains_any(low, rules.garbage), "garbage_domain").when(is_people_page(F.col("url")), "noise_url").when(is_listing_page(F.col("title"), F.col("url")), "listing_page")
-        .when(contains_any(low, NOISE_URL), "noise_url").when(contains_any(F.lower("title"), NOISE_TITLE), "noise_title").when((size < rules.title_chars[0]) | (size > rules.title_chars[1]), "title_length")
+        F.when(kept, "").when(~low.rlike("^https?://"), "invalid_url").when(holds_any(low, rules.garbage), "garbage_domain").when(is_people_page(url, parts), "noise_url").when(is_listing_page(F.col("title"), url, parts), "listing_page")
+        .when(holds_any(low, NOISE_URL), "noise_url").when(holds_any(F.col("low_title"), NOISE_TITLE), "noise_title").when((size < rules.title_chars[0]) | (size > rules.title_chars[1]), "title_length")
         .when(F.col("location") == "", "missing_location").when((F.col("company") == "") & ~F.col("trusted"), "missing_company").otherwise("")
     )
     c = c.withColumn("reason", reason)
     chars, age = F.length("description"), now - F.col("posted")
     days = lambda n: F.expr(f"INTERVAL {n} DAYS")
     # The role is looked for in the short fields first: most records need no look into their description.
-    role = contains_any(F.concat_ws(" ", F.lower("title"), "lower_url", "source"), ROLE_WORDS) | contains_any(F.lower("description"), ROLE_WORDS)
+    role = reduce(operator.or_, (holds_any(F.col(c), ROLE_WORDS) for c in ("low_title", "low_url", "source", "low_text")))
     tests = [
         (size.between(20, 100), 15, 6, "title_shape"), (role, 10, 0, "weak_role_signal"), ((F.col("company") != "") & ~F.lower("company").isin(*GENERIC_COMPANIES), 10, 0, "generic_company"),
-        (F.col("trusted"), 10, 0, "untrusted_source"), (contains_any(low, JOB_WORDS), 10, 0, "weak_url_path"), (F.col("location") != "", 5, 0, None),
+        (F.col("trusted"), 10, 0, "untrusted_source"), (holds_any(low, JOB_WORDS), 10, 0, "weak_url_path"), (F.col("location") != "", 5, 0, None),
     ]
     score, flags = F.lit(35), []
     for test, yes, no, flag in tests:
