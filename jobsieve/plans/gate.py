@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from jobsieve.functions import dates as D
 from jobsieve.functions import urls as U
+from jobsieve.functions.text import contains_any
 from jobsieve.operators import quality as Q
 from jobsieve.plans import duck
 from jobsieve.tables import table
@@ -116,6 +117,18 @@ def crawled_dates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "jobs").select("job_id", D.crawled_date(F.col("posted_date"), _now()).alias("posted"))
 
 
+@query(f"""
+WITH r AS (SELECT job_id, title, url, row_number() OVER (PARTITION BY quality.normalized_url ORDER BY coalesce(quality.score, 0) DESC, length(coalesce(description, '')) DESC, {duck.any_of("lower(source)", RULES.trusted)} DESC, scraped_at DESC NULLS LAST, job_id DESC) AS rn FROM jobs WHERE quality.normalized_url IS NOT NULL)
+SELECT job_id FROM r WHERE rn = 1 AND NOT coalesce({duck.listing_page("trim(title)", "coalesce(url, '')")}, false)""")
+def unique_postings(spark: SparkSession, d: str) -> DataFrame:
+    """The best posting of each address - by score, length, trusted source and time - without listing pages; what the fuzzy step starts from."""
+    jobs = table(spark, d, "jobs").where("quality.normalized_url is not null")
+    trusted = contains_any(F.lower("source"), RULES.trusted)
+    best = F.struct(F.coalesce("quality.score", F.lit(0)), F.length(F.coalesce("description", F.lit(""))), trusted, "scraped_at", "job_id")
+    kept = jobs.groupBy("quality.normalized_url").agg(F.max_by(F.struct("job_id", "title", "url"), best).alias("r")).select("r.*")
+    return kept.where(~F.coalesce(U.is_listing_page(F.trim("title"), F.coalesce("url", F.lit(""))), F.lit(False))).select("job_id")
+
+
 _SIGNAL = lambda title, snippet, url: f"({duck.any_of(f'lower({url})', U.SIGNAL_URL)} OR ({duck.any_of(snippet, U.SIGNAL_TEXT)} AND {duck.any_of(snippet, U.SIGNAL_ROLE)}))"
 _TEXT = "lower(coalesce(title, '') || ' ' || coalesce(description, ''))"
 
