@@ -144,8 +144,12 @@ SELECT host, line, n, records FROM n JOIN m USING (host) WHERE n > 1 AND n >= 0.
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the problems that have a plain definition; the others are tested against brute force and planted cases."""
+    from jobsieve.llm.twins import canonical_sql
+
     return {
         "p9_found": _WINDOWS + " SELECT doc_id, item_id FROM leaks",
         "p9_report": _WINDOWS + " SELECT item_id, count(doc_id) AS documents FROM (SELECT DISTINCT item_id FROM eval_items) LEFT JOIN leaks USING (item_id) GROUP BY item_id",
         "p5_boilerplate": _LINES,
+        "p7_found": canonical_sql() + " SELECT DISTINCT job_id, field_name, ref_id FROM mapped",
+        "p7_unmatched": canonical_sql() + " SELECT field_name, raw, count(*) AS n FROM mapped WHERE ref_id = -1 GROUP BY field_name, raw",
     }
