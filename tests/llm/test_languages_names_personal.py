@@ -78,6 +78,9 @@ def test_name_variants(spark):
     got = {(r.company_a, r.company_b) for r in N.variant_pairs(df).collect()}
     assert got == {(a, b) for group in SAME for a in group for b in group if a < b}
     assert N.variant_pairs(df.where("false")).count() == 0
+    text = " ".join(f"word{i}" for i in range(3000))
+    long = spark.createDataFrame([(text,), (text.upper(),), (text + " more",), ("word1 Zirkonfal",)], "company string")
+    assert {(r.company_a, r.company_b) for r in N.variant_pairs(long).collect()} == {(min(text, text.upper()), max(text, text.upper()))}
 
 
 def test_frequent_words_need_no_limit(spark):
