@@ -80,7 +80,9 @@ def open_marks(line: str) -> bool:
         elif c == "“" and "„" not in stack or c in OPENS and c != "“":
             stack.append(c)
         else:
-            at = max((i for i, x in enumerate(stack) if x in CLOSES[c]), default=-1)
+            at = len(stack) - 1
+            while at >= 0 and stack[at] not in CLOSES[c]:
+                at -= 1
             if at >= 0:
                 del stack[at:]
     return bool(stack)
