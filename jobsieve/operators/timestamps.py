@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobsieve.session import finished, write_once
+from jobsieve.session import finished, remove, write_once
 
 EPOCH = datetime(1970, 1, 1)
 #: Fixed offsets, in hours, of zone abbreviations; those with several meanings are settled by the source's zone below.
@@ -140,6 +140,8 @@ def parse(raw: str | None, day_order: str | None = None, source_zone: str | None
     return None
 
 
+#: Of the rules by which values are parsed; a kept dictionary belongs to one version.
+VERSION = 1
 ENTRY = ["raw", "source", "day_order", "time_zone"]
 #: A value with this share of all rows is a hot key of the join back to the rows; there are at most 1 / HOT of them. The rows
 #: of each are spread over SALTS tasks.
@@ -183,6 +185,9 @@ def dictionary(values: DataFrame, zones: DataFrame, path: str | None = None) ->
     part = f"{path}/{uuid4().hex}"
     parse_distinct(wanted).write.parquet(part)
     fresh = spark.read.parquet(part)
+    if kept is not None and fresh.isEmpty():
+        remove(spark, part)
+        return kept
     return fresh if kept is None else kept.unionByName(fresh).dropDuplicates(ENTRY)
 
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobsieve.operators.timestamps import dictionary, feed_zones, normalise_timestamps, value_counts
-from jobsieve.session import shared_folder
+from jobsieve.operators.timestamps import VERSION, dictionary, feed_zones, normalise_timestamps, value_counts
+from jobsieve.session import kept_folder
 from jobsieve.tables import table
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Through the dictionary that is kept in the shared folder: values seen by an earlier run are not parsed again."""
-    return normalise_timestamps(table(spark, d, "jobs"), table(spark, d, "feeds"), path=f"{shared_folder(spark)}/jobsieve-timestamps")
+    return normalise_timestamps(table(spark, d, "jobs"), table(spark, d, "feeds"), path=f"{kept_folder(spark)}/jobsieve-timestamps-{VERSION}")
 
 
 def p4_dictionary(spark: SparkSession, d: str) -> DataFrame:

@@ -46,6 +46,11 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def kept_folder(spark: SparkSession) -> str:
+    """The shared folder itself, for what later runs use again; Spark gives each application a folder of its own below it."""
+    return spark.conf.get("spark.checkpoint.dir", None) or shared_folder(spark)
+
+
 def cut_lineage(df):
     """Write df to the checkpoint folder once, so that it is computed once and survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
